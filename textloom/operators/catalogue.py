@@ -1,0 +1,6 @@
+"""Registered queries of the reference's operators, and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
