@@ -11,8 +11,9 @@ pairs on their full sets.
 
 Only components are wanted, so pairs that are connected already are not compared. The first round
 takes, of each small node, a spanning forest of the most similar candidates, and of each large node
-the pairs with one of its members; a large node whose classes are in one component then is dropped.
-The second round takes all candidates between different components that are left.
+the candidates with one of its members. A large node in which all are such candidates waits, instead
+of being branched, until these are confirmed, and is branched only if they leave it in several
+components. The last round takes all candidates between different components that are left.
 
 Defined results
 ---------------
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +53,7 @@ from textloom.plans.lineage import checked_broadcast, checkpointed
 WIDTH, PERCENT, RECALL = 5, 75, 0.999999
 #: Minwise values; children of a class at a node; classes of a node that is compared exhaustively;
 #: levels before a node is compared in blocks instead.
-COORDINATES, BRANCHES, LEAF, LEVELS = 96, 2, 64, 16
+COORDINATES, BRANCHES, LEAF, LEVELS = 96, 2, 512, 16
 #: Deviations of the minwise estimate below the threshold at which a pair is still confirmed.
 MARGIN = 5
 _RANDOM = np.random.Generator(np.random.PCG64(11))
@@ -130,9 +132,11 @@ def leaf_pairs(leaves: DataFrame, least: int, forest: bool) -> DataFrame:
     a spanning forest of the most similar ones, else all whose labels differ."""
 
     def compare(digests: list[bytes], labels: list[bytes], sig: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        agree = (sig[:, None, :] == sig[None, :, :]).sum(axis=2)
-        x, y = np.nonzero(np.triu(agree >= least, 1))
-        order = np.argsort(-agree[x, y], kind="stable")
+        # Rows in parts, so that a part of the comparison stays in the cache.
+        agree = np.concatenate([(sig[i : i + 32, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.uint8) for i in range(0, len(sig), 32)])
+        group = np.unique(np.array(labels, object), return_inverse=True)[1]
+        x, y = np.nonzero(np.triu(agree >= least, 1) & (group[:, None] != group[None, :]))
+        order = np.argsort(agree[x, y], kind="stable")[::-1]
         tree = {label: label for label in labels}
 
         def top(label: bytes) -> bytes:
@@ -230,28 +234,40 @@ class Join:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("digest").alias("pivot")).where(F.col("size") > 1)
         return checkpointed(nodes.join(sizes, "node"))
 
-    def descend(self) -> DataFrame:
-        """All small nodes of all trees, as ``(node, digest)``."""
-        nodes, leaves = roots(self.classes, self.trees), None
+    def descend(self, nodes: DataFrame, sigs: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+        """The small nodes below ``nodes`` as ``(node, digest)``; pairs ``(a, b)`` of the large ones;
+        and those of the large ones, as ``(node, digest)``, that wait for these pairs."""
+        leaves, stars, waiting = None, [], []
         for level in range(1, LEVELS + 1):
             nodes = self.sized(nodes)
             small = nodes.where(F.col("size") <= LEAF).select("node", "digest")
             leaves = small if leaves is None else leaves.union(small)
             large = nodes.where(F.col("size") > LEAF)
             if large.isEmpty():
-                return leaves
-            sigs = self.classes.select("digest", "sig")
-            with_sig = large.join(sigs, "digest")
+                break
             pivots = large.select("node", "pivot").distinct().join(sigs.toDF("pivot", "pivot_sig"), "pivot")
-            stars = with_sig.drop("pivot").join(pivots, "node").where((F.col("digest") != F.col("pivot")) & (agreeing("sig", "pivot_sig") >= self.least))
-            self.confirm(stars.select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct())
-            mixed = self.labelled(large).groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
-            open_nodes = with_sig.join(mixed.select("node"), "node", "left_semi")
-            if level < LEVELS:
-                nodes = checkpointed(open_nodes.select(F.explode(F.array(*(child(F.col("node"), j) for j in range(BRANCHES)))).alias("node"), "digest"))
-            else:
-                leaves = leaves.union(self.in_blocks(open_nodes))
-        return leaves
+            near = (F.col("digest") == F.col("pivot")) | (agreeing("sig", "pivot_sig") >= self.least)
+            judged = large.drop("pivot").join(sigs, "digest").join(pivots, "node").withColumn("near", near)
+            judged = checkpointed(judged.select("node", "digest", "size", "pivot", "near", "sig"))
+            stars.append(judged.where(F.col("near") & (F.col("digest") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("digest").alias("b")))
+            far = judged.where(~F.col("near")).select("node").distinct()
+            waiting.append(judged.join(far, "node", "left_anti").select("node", "digest", "size"))
+            mixed = judged.join(far, "node", "left_semi")
+            if level == LEVELS:
+                return leaves.union(self.in_blocks(mixed)), stars, waiting
+            nodes = self.children(mixed)
+        return leaves, stars, waiting
+
+    @staticmethod
+    def children(nodes: DataFrame) -> DataFrame:
+        """``(node, digest, sig)`` to ``(node, digest)`` one level down."""
+        return nodes.select(F.explode(F.array(*(child(F.col("node"), j) for j in range(BRANCHES)))).alias("node"), "digest")
+
+    def open(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with labels, where a node has two or more."""
+        named = self.labelled(nodes)
+        several = named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("node")
+        return named.join(several, "node", "left_semi")
 
     @staticmethod
     def in_blocks(nodes: DataFrame) -> DataFrame:
@@ -263,12 +279,26 @@ class Join:
 
     def run(self) -> DataFrame:
         """``(digest, component_id)`` of every class."""
-        leaves = checkpointed(self.descend())
         sigs = self.classes.select("digest", "sig")
-        for forest in (True, False):
-            mixed = self.labelled(leaves)
-            open_nodes = mixed.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("node")
-            self.confirm(leaf_pairs(mixed.join(open_nodes, "node", "left_semi").join(sigs, "digest"), self.least, forest))
+        nodes, leaves = roots(self.classes, self.trees), None
+        for turn in range(LEVELS):
+            small, stars, waiting = self.descend(nodes, sigs)
+            small = checkpointed(small)
+            leaves = small if leaves is None else leaves.union(small)
+            pairs = leaf_pairs(self.labelled(small).join(sigs, "digest"), self.least, forest=True)
+            for part in stars:
+                pairs = pairs.union(part)
+            self.confirm(pairs.distinct())
+            if not waiting:
+                break
+            left = self.open(reduce(DataFrame.union, waiting).select("node", "digest", "size")).drop("label")
+            left = checkpointed(left.join(sigs, "digest"))
+            if left.isEmpty():
+                break
+            if turn == LEVELS - 1:
+                leaves = leaves.union(self.in_blocks(left))
+            nodes = self.children(left)
+        self.confirm(leaf_pairs(self.open(leaves).join(sigs, "digest"), self.least, forest=False))
         named = self.labelled(self.classes.select("digest", "least_id"))
         return named.join(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("digest", "component_id")
 

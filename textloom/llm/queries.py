@@ -6,17 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_count, url_filter
+from textloom.llm import bpe, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.best_matches(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(table(spark, sf_dir, "documents"))
 
@@ -49,4 +57,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_token_counts, op5_mixing, op6_line_dedup, op7_url_filter, op8_near_dedup, op9_bpe, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_mixing,
+        op6_line_dedup, op7_url_filter, op8_near_dedup, op9_bpe, op10_substring_dedup,
+    )
+}

@@ -40,13 +40,14 @@ from textloom.llm.packing import mixed, pack, unpack, window_hashes, word_hashes
 WINDOW, BLOCK = 13, 7
 #: Words that a task settles at once.
 WORDS_AT_ONCE = 2_000_000
-ENTRIES, FOUND = 0, 1
-SENT = "kind tinyint, bucket int, id long, check long, data binary"
-REPLY = "id long, check long, data binary"
+SENT = "bucket int, home int, data binary"
+REPLY = "home int, data binary"
+HITS = "id long, check long, hits binary"
 
 
 class Sender:
-    """Rows of the format ``SENT``: blocks for the buckets, and places found for rows of the input."""
+    """Rows of the format ``SENT``: blocks of hashes for the buckets, and blocks of places found, which
+    have the number of the home that gathers what is found for their documents."""
 
     def __init__(self, buckets: int):
         self.buckets, self.rows = buckets, []
@@ -55,25 +56,29 @@ class Sender:
         """The bucket of each hash; in the order of the hashes."""
         return ((hashes >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
 
-    def found(self, ids: np.ndarray, checks: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
-        """``at`` holds places in the rows numbered ``row``."""
-        for i, places in by_row(row, at):
-            key = int(mixed(ids[i : i + 1].astype(np.uint64))[0] >> np.uint64(32)) * self.buckets >> 32
-            self.rows.append((FOUND, key, int(ids[i]), int(checks[i]), pack(places)))
+    def found(self, ids: np.ndarray, checks: np.ndarray, at: np.ndarray) -> None:
+        """``at`` holds places in the rows with these ids and checks."""
+        self.rows += [(home, home, data) for home, data in by_home(ids, checks, at, self.buckets)]
 
     def batch(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) or [()] * 5
+        columns = list(zip(*self.rows)) or [()] * 3
         self.rows = []
-        kinds = (pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "bucket", "id", "check", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "home", "data"])
 
 
-def by_row(row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if len(row):
-        order = np.argsort(row, kind="stable")
-        row, at = row[order], at[order]
-        cuts = np.flatnonzero(row[1:] != row[:-1]) + 1
-        yield from zip(row[np.concatenate(([0], cuts))].tolist(), np.split(at, cuts))
+def by_home(ids: np.ndarray, checks: np.ndarray, at: np.ndarray, homes: int) -> Iterator[tuple[int, bytes]]:
+    """(id, check, place) triples as one block for each home."""
+    home = ((mixed(ids.astype(np.uint64)) >> np.uint64(32)) * np.uint64(homes)) >> np.uint64(32)
+    order = np.lexsort((at, checks, ids, home))
+    home, ids, checks, at = home[order], ids[order], checks[order], at[order]
+    for i, j in edges(home):
+        heads = i + np.flatnonzero(new_pair(ids[i:j], checks[i:j]))
+        yield int(home[i]), pack(ids[heads].view(np.uint64), checks[heads], np.diff(np.append(heads, j)), at[i:j])
+
+
+def new_pair(ids: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where a sorted list of (id, check) goes on to the next pair."""
+    return np.concatenate(([True], (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1])))
 
 
 def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -94,7 +99,7 @@ def settled_blocks(hashes, row, at, ids, checks, send: Sender) -> None:
     several = spread(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), starts, len(h))
     anchor = at % BLOCK == 0
     hit = several & anchor
-    send.found(ids, checks, row[hit], at[hit])
+    send.found(doc[hit], checks[row[hit]], at[hit])
     first = np.zeros(len(h), bool)
     first[starts] = True
     probe_only = first & ~spread(np.logical_or.reduceat(anchor, starts), starts, len(h))
@@ -107,7 +112,7 @@ def settled_blocks(hashes, row, at, ids, checks, send: Sender) -> None:
         what = number * 4 + reply * 2 + several[part]
         short = h[part] >> np.uint64(16)
         steps = np.diff(short, prepend=np.uint64(0))
-        send.rows.append((ENTRIES, b, None, None, pack(steps, what, at[part][reply], ids[own].view(np.uint64), checks[own])))
+        send.rows.append((b, None, pack(steps, what, at[part][reply], ids[own].view(np.uint64), checks[own])))
 
 
 def edges(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -140,13 +145,13 @@ def settled_windows(hashes, row, at, ids, checks, send: Sender) -> None:
     starts = group_starts(h)
     doc = ids[row]
     repeat = doc > spread(np.minimum.reduceat(doc, starts), starts, len(h))
-    send.found(ids, checks, row[repeat], at[repeat])
+    send.found(doc[repeat], checks[row[repeat]], at[repeat])
     h, row, at = h[~repeat], row[~repeat], at[~repeat]
     bucket = send.place(h)
     for b, part in ((int(bucket[i]), slice(i, j)) for i, j in edges(bucket)):
         own, number = np.unique(row[part], return_inverse=True)
         steps = np.diff(h[part], prepend=np.uint64(0))
-        send.rows.append((ENTRIES, b, None, None, pack(steps, number, at[part], ids[own].view(np.uint64), checks[own])))
+        send.rows.append((b, None, pack(steps, number, at[part], ids[own].view(np.uint64), checks[own])))
 
 
 def met_windows(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
@@ -162,7 +167,7 @@ def met_windows(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     return ids[repeat], checks[repeat], at[repeat]
 
 
-def block_windows(words: np.ndarray, _: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+def block_windows(words: np.ndarray, _: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Rolling windows of a block's length, and where they start."""
     if len(words) < WINDOW:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -170,11 +175,11 @@ def block_windows(words: np.ndarray, _: list[bytes] | None) -> tuple[np.ndarray,
     return h, np.arange(len(h))
 
 
-def places(hits: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.concatenate([unpack(x)[0] for x in hits])).astype(np.int64) if hits else np.zeros(0, np.int64)
+def places(hits: bytes | None) -> np.ndarray:
+    return unpack(hits)[0].astype(np.int64) if hits else np.zeros(0, np.int64)
 
 
-def windows_at_hits(words: np.ndarray, hits: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+def windows_at_hits(words: np.ndarray, hits: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """The 13-word windows that hold an anchor that was hit."""
     anchors = places(hits)
     if not len(anchors):
@@ -189,7 +194,7 @@ def texts_words(text: str | None) -> list[bytes]:
 
 
 def round_of(rows: DataFrame, windows, settle, meet, buckets: int) -> DataFrame:
-    """``rows`` (id, check, text, hits) to ``REPLY``: the places that ``meet`` finds."""
+    """``rows`` (id, check, text, hits) to ``HITS``: the places that ``meet`` finds."""
     with_hits = "hits" in rows.columns
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,24 +225,27 @@ def round_of(rows: DataFrame, windows, settle, meet, buckets: int) -> DataFrame:
             yield flush()
 
     def receive(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        found = table.filter(pa.array(kinds == FOUND)).select(["id", "check", "data"])
-        blocks = [unpack(x.as_py()) for x in table.filter(pa.array(kinds == ENTRIES)).column("data")]
-        if not blocks:
-            return found
-        ids, checks, at = meet(blocks)
-        out = []
-        order = np.lexsort((checks, ids))
+        passed = table.filter(table.column("home").is_valid()).select(["home", "data"])
+        blocks = [unpack(x.as_py()) for x in table.filter(table.column("home").is_null()).column("data")]
+        columns = list(zip(*by_home(*meet(blocks), buckets))) if blocks else []
+        columns = columns or [(), ()]
+        more = pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["home", "data"])
+        return pa.concat_tables([passed.cast(more.schema), more])
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """All places that were found for each row, as one block."""
+        blocks = [unpack(x.as_py()) for x in table.column("data")]
+        n = np.concatenate([b[2] for b in blocks]).astype(np.int64)
+        ids, checks = np.repeat(np.concatenate([b[0] for b in blocks]).view(np.int64), n), np.repeat(np.concatenate([b[1] for b in blocks]), n)
+        at = np.concatenate([b[3] for b in blocks])
+        order = np.lexsort((at, checks, ids))
         ids, checks, at = ids[order], checks[order].astype(np.int64), at[order]
-        if len(ids):
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1])) + 1
-            heads = np.concatenate(([0], cuts))
-            out = list(zip(ids[heads].tolist(), checks[heads].tolist(), map(pack, np.split(at, cuts))))
-        columns = list(zip(*out)) or [()] * 3
-        more = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "check", "data"])
-        return pa.concat_tables([found.cast(more.schema), more])
+        heads = np.flatnonzero(new_pair(ids, checks))
+        data = map(pack, np.split(at, heads[1:]))
+        return pa.Table.from_arrays([pa.array(ids[heads]), pa.array(checks[heads]), pa.array(data, pa.binary())], names=["id", "check", "hits"])
 
-    return rows.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(receive, REPLY)
+    met = rows.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(receive, REPLY)
+    return met.groupBy("home").applyInArrow(gather, HITS)
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -250,8 +258,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     known = rows.where(F.col("id").isNotNull())
 
     def joined(hits: DataFrame, how: str) -> DataFrame:
-        gathered = hits.groupBy("id", "check").agg(F.collect_list("data").alias("hits"))
-        return known.join(gathered, ["id", "check"], how).select("id", "check", "text", "hits")
+        return known.join(hits, ["id", "check"], how).select("id", "check", "text", "hits")
 
     first = round_of(known, block_windows, settled_blocks, met_blocks, n)
     second = round_of(joined(first, "inner"), windows_at_hits, settled_windows, met_windows, n)
@@ -271,6 +278,6 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    unnamed = rows.where(F.col("id").isNull()).withColumn("hits", F.lit(None).cast("array<binary>"))
+    unnamed = rows.where(F.col("id").isNull()).withColumn("hits", F.lit(None).cast("binary"))
     out = joined(second, "left").unionByName(unnamed).mapInArrow(cut, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
