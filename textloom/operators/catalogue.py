@@ -1,6 +1,458 @@
-"""Registered queries of the reference's operators, and the SQL that must give the same rows."""
+"""Registered queries of the reference's operators, and the SQL that must give the same rows.
+
+A query's name says what it runs; the ids of the operators are in the function's docstring.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, timeops, url
+from textloom.operators import graph, matching
+from textloom.sources.lines import split_lines
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+#: Words that the dictionary queries look for. Fixed values.
+WORDS = ("a", "an", "th", "the", "there", "est", "une", "und", "der", "los", "la", "he", "tion", "ing")
+_WORD_ROWS = ", ".join(f"('{w}', {i})" for i, w in enumerate(sorted(WORDS)))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w, i) for i, w in enumerate(sorted(WORDS))], "word string, idx int")
+
+
+def _first_word(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("key"))
+
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1))"
+
+
+@query(
+    rf"""with h as (select {_HOST} as host from pages),
+    d as (select string_split(host, '.') as l from h where not regexp_full_match(host, '[0-9.]*'))
+    select l[-2] || '.' || l[-1] as domain, count(*) as pages from d where len(l) >= 2 group by 1"""
+)
+def url_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-9, URL-18."""
+    pages = table(spark, sf_dir, "pages").select(url.domain(F.col("url")).alias("domain"))
+    return pages.where("domain is not null").groupBy("domain").agg(F.count("*").alias("pages"))
+
+
+@query(
+    rf"""with h as (select distinct {_HOST} as host from pages), d as (select host, string_split(host, '.') as l from h)
+    select host, l[-2] || '.' || l[-1] as domain from d where len(l) >= 2"""
+)
+def host_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-19, with the rules as a table."""
+    hosts = table(spark, sf_dir, "pages").select(url.host(F.col("url")).alias("host")).distinct()
+    return url.join_domains(hosts, "host", spark.createDataFrame(list(url.RULES), "name string, type int")).where("domain is not null")
+
+
+@query(
+    rf"""select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) as scheme, {_HOST} as host,
+    nullif(regexp_extract(url, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') as port,
+    nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') as path,
+    nullif(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '') as query, nullif(regexp_extract(url, '#(.*)$', 1), '') as ref,
+    regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) as request from pages"""
+)
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-7, URL-9 to URL-14, URL-21."""
+    u = F.col("url")
+    made = {"scheme": url.scheme, "host": url.host, "port": url.port, "path": url.path, "query": url.query, "ref": url.ref, "request": url.request}
+    return table(spark, sf_dir, "pages").select("page_id", *(f(u).alias(name) for name, f in made.items()))
+
+
+@query(
+    r"""select page_id, true as valid, true as standard, false as is_file, starts_with(url, 'https://') as secure, false as ip,
+    false as has_username, false as has_password, regexp_matches(url, '^[a-z]+://[^/?#]*:[0-9]') as has_port,
+    regexp_matches(url, '^[^?#]*\?[^#]') as has_query, regexp_matches(url, '#.') as has_ref,
+    regexp_matches(url, '^[a-z]+://[^/?#]*/?(#.*)?$') as host_page from pages"""
+)
+def url_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-3, URL-1, URL-3 to URL-6, URL-15, URL-16."""
+    u = F.col("url")
+    has = [url.has(u, x).alias(f"has_{x}") for x in ("username", "password", "port", "query", "ref")]
+    own = {"valid": url.is_valid, "standard": url.is_standard, "is_file": url.is_file, "secure": url.is_secure, "ip": url.host_is_ip, "host_page": url.is_host_page}
+    return table(spark, sf_dir, "pages").select("page_id", *(f(u).alias(name) for name, f in own.items()), *has)
+
+
+@query(
+    rf"""select page_id, regexp_replace(url, '^([a-z]+://[^/?#]+)$', '\1/') as spec,
+    regexp_extract({_HOST}, '([^.]*\.[^.]*)$', 1) = 'example.com' as same from pages"""
+)
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-2, URL-20."""
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", url.canonical(u).alias("spec"), url.same_domain(u, F.lit("http://www.example.com/")).alias("same"))
+
+
+@query(r"""select page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/top.html' as resolved from pages""")
+def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-22."""
+    return table(spark, sf_dir, "pages").select("page_id", url.resolve(F.col("url"), F.lit("/top.html")).alias("resolved"))
+
+
+@query(
+    """select doc_id, replace(replace(replace(replace(replace(replace(url_encode(text), '%20', '+'), '%21', '!'), '%2A', '*'), '%27', ''''), '%28', '('), '%29', ')') as encoded
+    from documents"""
+)
+def url_encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-23."""
+    return table(spark, sf_dir, "documents").select("doc_id", url.url_encode(F.col("text")).alias("encoded"))
+
+
+@query("select doc_id, text as decoded from documents")
+def url_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-23, URL-24."""
+    return table(spark, sf_dir, "documents").select("doc_id", url.url_decode(url.url_encode(F.col("text"))).alias("decoded"))
+
+
+@query("select page_id, url_decode(replace(url, '+', ' ')) as decoded from pages")
+def url_decode_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-24."""
+    return table(spark, sf_dir, "pages").select("page_id", url.url_decode(F.col("url")).alias("decoded"))
+
+
+@query(
+    r"""with q as (select page_id, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from pages),
+    p as (select page_id, unnest(list_filter(string_split(q, '&'), lambda x: x <> '')) as p from q)
+    select page_id, case when contains(p, '=') then split_part(p, '=', 1) else '' end as "key",
+    case when contains(p, '=') then regexp_replace(substr(p, instr(p, '=')), '^=+', '') else '' end as "value" from p"""
+)
+def query_kv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KV-1 to KV-3."""
+    pairs = kv.key_value_pairs(F.coalesce(url.query(F.col("url")), F.lit("")))["pairs"]
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.key", "p.value")
+
+
+@query("select doc_id, md5(text) as digest from documents")
+def md5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MD5-1 to MD5-3."""
+    return table(spark, sf_dir, "documents").select("doc_id", codec.md5_hex(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select doc_id, base64(encode(text)) as coded, text as decoded from documents")
+def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B64-1, B64-2."""
+    coded = codec.base64_encode(F.col("text").cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("coded")).withColumn("decoded", codec.base64_decode(F.col("coded")).cast("string"))
+
+
+@query(
+    """select item_id, hex(encode(text)) as b16, replace(replace(base64(encode(text)), '+', '-'), '/', '_') as b64w, bin(item_id) as b2,
+    replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as html from benchmark"""
+)
+def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ENC-1."""
+    t = F.col("text")
+    b = t.cast("binary")
+    return table(spark, sf_dir, "benchmark").select("item_id", codec.hex_encode(b).alias("b16"), codec.base64_web(b).alias("b64w"), codec.binary_digits(F.col("item_id")).alias("b2"), codec.html_escape(t).alias("html"))
+
+
+@query()
+def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-1, ENC-1: checksums and base 85, held against the standard library in tests."""
+    b = F.col("text").cast("binary")
+    return table(spark, sf_dir, "benchmark").select("item_id", codec.crc32(b).alias("crc32"), codec.crc32c(b).alias("crc32c"), codec.adler32(b).alias("adler32"), codec.base85_encode(b).alias("b85"))
+
+
+@query(
+    """select doc_id, case when instr(text, 'en') = 0 then -1 else strlen(left(text, instr(text, 'en') - 1)) end::int as position,
+    strlen(text)::int as n_bytes from documents"""
+)
+def kmp_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-1 to STR-3."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.byte_position(t, "en").alias("position"), text.byte_length(t).alias("n_bytes"))
+
+
+@query(
+    """select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower, len(string_split(text, ',')) ::int as n_pieces,
+    length(text)::int as runes, unicode(text)::int as first, instr(text, 'e')::int - 1 as at, true as valid from documents"""
+)
+def string_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-4, STR-5, UTF-1 to UTF-5."""
+    t = F.col("text")
+    there_and_back = text.narrow(text.wide(t)) == t
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.ascii_lower(t).alias("lower"), F.size(text.pieces(t, ",")).alias("n_pieces"), text.rune_count(t).alias("runes"),
+        text.first_rune(t).alias("first"), text.rune_index(t, "e").alias("at"), (text.is_utf8(t) & there_and_back).alias("valid"),
+    )
+
+
+@query("select doc_id, 'utf-8' as charset from documents")
+def detect_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHS-1."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.charset(F.col("text").cast("binary")).alias("charset"))
+
+
+@query("select doc_id, regexp_extract(text, '([A-Z][a-z]+) ([a-z]+)', 2) as second, regexp_matches(text, '[0-9]{3}') as digits from documents")
+def regex_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RE-1."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract(t, "([A-Z][a-z]+) ([a-z]+)", 2).alias("second"), t.rlike("[0-9]{3}").alias("digits"))
+
+
+@query()
+def fingerprint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HSH-1 to HSH-5, HSH-8: held against golden values in tests."""
+    h = F.col("h")
+    hashed = table(spark, sf_dir, "documents").select("doc_id", hashing.fingerprint(F.col("text")).alias("h"), hashing.fingerprint32(F.col("text")).alias("h32"))
+    shown = hashing.fingerprint_to_string(h)
+    return hashed.select("doc_id", hashing.identity(h).alias("h"), "h32", shown.alias("shown"), hashing.unsigned(h).alias("unsigned"), hashing.string_to_fingerprint(shown).alias("back"))
+
+
+@query(
+    """with recursive w as (select page_id, url, 0 as i, 0::hugeint as h, 0::hugeint as j from pages union all
+    select page_id, url, i + 1, (h * 131 + ascii(substr(url, i + 1, 1))) % 18446744073709551616::hugeint,
+    xor(((((j + ascii(substr(url, i + 1, 1))) % 4294967296) * 1025) % 4294967296), ((((j + ascii(substr(url, i + 1, 1))) % 4294967296) * 1025) % 4294967296) // 64) from w where i < length(url)),
+    e as (select page_id, h, (j * 9) % 4294967296 as a from w where i = length(url)),
+    f as (select page_id, h, xor(a, a // 2048) as b from e)
+    select page_id, (case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end)::bigint as times131, ((b * 32769) % 4294967296)::bigint as jenkins from f"""
+)
+def small_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HSH-6, HSH-7."""
+    return table(spark, sf_dir, "pages").select("page_id", hashing.times131(F.col("url")).alias("times131"), hashing.jenkins(F.col("url")).alias("jenkins"))
+
+
+_KEYS = "select doc_id, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) as key from documents"
+_DICT = f"(values {_WORD_ROWS}) as d(word, idx)"
+
+
+@query(f"with k as ({_KEYS}) select doc_id, key, d.idx::int as idx, strlen(d.word)::int as length from k join {_DICT} on k.key = d.word")
+def dict_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-1, DIC-2, DIC-10 to DIC-12, FLT-4."""
+    found = matching.exact_match(_first_word(table(spark, sf_dir, "documents")), "key", F.broadcast(_words(spark)))
+    return found.select("doc_id", "key", "idx", F.octet_length("word").alias("length"))
+
+
+@query(f"with k as (select distinct key from ({_KEYS}) where key <> '') select key, d.word, d.idx::int as idx, strlen(d.word)::int as length from k join {_DICT} on starts_with(k.key, d.word)")
+def dict_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-3, DIC-6, DIC-9."""
+    found = matching.prefix_matches(_first_word(table(spark, sf_dir, "documents")), "key", _words(spark))
+    return found.select("key", "word", "idx", "length")
+
+
+@query(
+    f"""with k as (select distinct key from ({_KEYS}) where key <> ''), s as (select key, unnest(range(1, length(key) + 1)) as i from k)
+    select key, d.word, (i - 1)::int as position from s join {_DICT} on starts_with(substr(key, i), d.word)"""
+)
+def dict_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-8."""
+    return matching.substring_matches(_first_word(table(spark, sf_dir, "documents")), "key", _words(spark)).select("key", "word", "position")
+
+
+@query(
+    f"""with k as (select distinct key from ({_KEYS}) where key <> ''), s as (select key, unnest(range(1, length(key) + 1)) as i from k),
+    m as (select key, d.word, i, row_number() over (partition by key order by i, strlen(d.word) desc) as n from s join {_DICT} on starts_with(substr(key, i), d.word))
+    select key, word, (i - 1)::int as position from m where n = 1"""
+)
+def dict_first_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-7."""
+    return matching.first_substring_match(_first_word(table(spark, sf_dir, "documents")), "key", _words(spark))
+
+
+_PART_WORDS = "select unnest(string_split(p_name, ' ')) as word from part"
+
+
+def _part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).where("word <> ''")
+
+
+@query(f"select word, count(*) as cnt from ({_PART_WORDS}) where word <> '' group by word")
+def trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRI-1, DIC-5."""
+    return matching.word_counts(_part_words(spark, sf_dir))
+
+
+@query(
+    f"""with i as (select word, count(*) as n from ({_PART_WORDS}) where word <> '' group by word),
+    g as (select split_part(p_name, ' ', 1) as word, 2 * count(*) as n from part group by 1)
+    select i.word, greatest(i.n - coalesce(g.n, 0), 0)::bigint as cnt from i left join g using (word)"""
+)
+def trie_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRI-2: each name's first word is removed twice."""
+    first = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("word"))
+    return matching.without(_part_words(spark, sf_dir), first.union(first))
+
+
+@query(f"select distinct word from ({_PART_WORDS}) where word like 'b%'")
+def trie_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRI-3 to TRI-5, ORD-2, LIM-1."""
+    return matching.search(matching.word_counts(_part_words(spark, sf_dir)), "b")
+
+
+@query(f"select (row_number() over (order by word) - 1)::int as idx, word from (select distinct word from ({_PART_WORDS}) where word <> '')")
+def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-1, DIC-4, DIC-5, ORD-3, SNK-3."""
+    return matching.indexed(_part_words(spark, sf_dir))
+
+
+@query(
+    """with s as (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as l from documents where text <> ''),
+    u as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as line_no from s)
+    select doc_id, line_no::int as line_no, line from u where line <> '' and not starts_with(lower(line), 'the')"""
+)
+def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1, SRC-2, SRC-4, FLT-1, FLT-2."""
+    return split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", comment_prefix="THE")
+
+
+@query("select event_id, json_extract_string(props, '$.k')::bigint as k, '{\"k\":' || json_extract_string(props, '$.k') || '}' as again from events")
+def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN-2 to JSN-5, JSN-7."""
+    read = jsonops.from_text(F.col("props"), "k bigint", ())
+    return table(spark, sf_dir, "events").select("event_id", read.alias("m")).select("event_id", "m.k", jsonops.fast(F.col("m")).alias("again"))
+
+
+@query(
+    """with e as (select event_id, props from events)
+    select event_id, '.' as path, '{}' as "value" from e union all
+    select event_id, '.' || k.key, k.value::varchar from e, json_each(e.props) as k"""
+)
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN-6."""
+    return table(spark, sf_dir, "events").select("event_id", F.explode(jsonops.flattened(F.col("props"))).alias("f")).select("event_id", "f.path", "f.value")
+
+
+@query(
+    r"""select o_orderkey, 'priority:' || o_orderpriority || ',s\:t:' || o_orderstatus as coded, o_orderpriority as priority, o_orderstatus as status from orders"""
+)
+def map_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAP-1 to MAP-4, ORD-1."""
+    m = F.create_map(F.lit("s:t"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
+    coded = table(spark, sf_dir, "orders").select("o_orderkey", kv.map_to_string(m).alias("coded")).withColumn("m", kv.string_to_map(F.col("coded")))
+    return coded.select("o_orderkey", "coded", F.col("m")["priority"].alias("priority"), F.col("m")["s:t"].alias("status"))
+
+
+@query(
+    """select doc_id, case when n_chars = 0 then -1 else length(bin(n_chars)) - 1 end::int as low,
+    case when n_chars = 0 then -1 when n_chars = 1 then 0 else length(bin(n_chars - 1)) end::int as high, true as finite from documents"""
+)
+def log2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIT-1, BIT-2, FLT-5."""
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").select("doc_id", bits.log2_floor(n).alias("low"), bits.log2_ceiling(n).alias("high"), bits.is_finite(n.cast("double")).alias("finite"))
+
+
+@query(
+    """select event_id, (epoch_us(ts) // 86400000000)::int as days, (epoch_us(ts) // 3600000000)::int as hours, epoch_us(ts) // 1000000 as seconds,
+    (epoch_us(ts) + 999) // 1000 as ms_up, date_trunc('day', ts)::varchar as midnight from events"""
+)
+def event_time_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TIM-1 to TIM-7."""
+    ts = F.col("ts").cast("timestamp")
+    us = F.unix_micros(ts)
+    return table(spark, sf_dir, "events").select(
+        "event_id", timeops.in_days(us).alias("days"), timeops.in_hours(us).alias("hours"), timeops.in_seconds(us).alias("seconds"),
+        timeops.in_milliseconds_up(us).alias("ms_up"), F.date_format(timeops.local_midnight(ts), "yyyy-MM-dd HH:mm:ss").alias("midnight"),
+    )
+
+
+@query("select event_id, date_trunc('second', ts)::varchar as again, epoch_us(date_trunc('second', ts)) // 1000000 as time_t from events")
+def time_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TIM-5, TIM-8."""
+    shown = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    read = timeops.from_string(shown)
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(timeops.from_time_t(timeops.to_time_t(read)), "yyyy-MM-dd HH:mm:ss").alias("again"), timeops.to_time_t(read).alias("time_t"))
+
+
+@query(
+    """select vec_id, list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0 as positive, len(embedding)::int as dims,
+    list_transform(embedding, lambda x: 2.0::double * x::double + x::double)[1] as first from embeddings"""
+)
+def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLA-1."""
+    x = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", (bits.dot(x, x) > 0).alias("positive"), F.size(x).alias("dims"), bits.plus_scaled(F.lit(2.0), x, x)[0].alias("first"))
+
+
+#: Nations depend on their regions, and each region on the one before.
+_EDGES = """select 'n' || n_nationkey as src, 'r' || n_regionkey as dst from nation union all
+    select 'r' || r_regionkey, 'r' || (r_regionkey - 1) from region where r_regionkey > 0"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
+    key = F.col("r_regionkey")
+    return nations.union(table(spark, sf_dir, "region").where(key > 0).select(F.concat(F.lit("r"), key), F.concat(F.lit("r"), key - 1)))
+
+
+@query(f"with recursive e as ({_EDGES}), c as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
+def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-1."""
+    return graph.closure(_edges(spark, sf_dir))
+
+
+@query(f"with recursive e as ({_EDGES}), c as (select src from e where dst = 'r1' union select e.src from c join e on c.src = e.dst) select src as node from c")
+def dependents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-2, GRF-3."""
+    return graph.dependents(_edges(spark, sf_dir), "r1")
+
+
+@query("select 'n' || n_nationkey as node, (n_regionkey + 1)::int as level from nation union all select 'r' || r_regionkey, r_regionkey::int from region")
+def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-4."""
+    return graph.levels(_edges(spark, sf_dir))
+
+
+@query(f"""select '"' || src || '" -> "' || dst || '"' as "value" from ({_EDGES})""")
+def graphviz_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-5."""
+    return graph.graphviz(_edges(spark, sf_dir))
+
+
+@query("select n_nationkey, 'Nation ' || n_name || ' <' || n_regionkey || '>' as page, case when n_name = '' then [] else [n_name] end as as_list from nation")
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TPL-1 to TPL-4, ARR-1."""
+    values = F.create_map(F.lit("NAME"), F.col("n_name"), F.lit("REGION"), F.col("n_regionkey").cast("string"))
+    page = misc.rendered("Nation {{NAME:h}}{{! a comment }}{{#REGION}} <{{REGION}}>{{/REGION}}", values)
+    return table(spark, sf_dir, "nation").select("n_nationkey", page.alias("page"), misc.to_list(F.col("n_name")).alias("as_list"))
+
+
+@query("select item_id, translate(text, 'aeiou', 'AEIOU') as by_letter, replace(replace(text, 'the', 'TH'), 'TH', 'ze') as staged from benchmark where not contains(text, 'TH')")
+def staged_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZHC-1, ZHC-2: with small dictionaries, since the originals are missing."""
+    t = F.col("text")
+    rows = table(spark, sf_dir, "benchmark").where(~t.contains("TH"))
+    return rows.select("item_id", misc.converted(t, [dict(zip("aeiou", "AEIOU"))]).alias("by_letter"), misc.converted(t, [{"the": "TH"}, {"TH": "ze"}]).alias("staged"))
+
+
+@query("select doc_id, 'a/b/' || source as path, '../b/' || source as relative from documents")
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PTH-1."""
+    path = F.concat(F.lit("a/b/"), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), misc.relative_path(path, F.lit("A/c")).alias("relative"))
+
+
+@query(r"""select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages""")
+def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CON-5: HTML is no XML, so a pattern reads it; ``xpath`` is for what is well formed."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("select event_id, event_type as kind from events")
+def xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CON-5."""
+    page = F.concat(F.lit("<event><kind>"), "event_type", F.lit("</kind></event>"))
+    return table(spark, sf_dir, "events").select("event_id", F.xpath_string(page, F.lit("/event/kind")).alias("kind"))

@@ -31,22 +31,24 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.where(F.col("a") != F.col("b"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` with their lineage cut, and a mark that tells their set from another."""
+    kept = checkpointed(edges)
+    row = kept.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    return kept, (row["n"], row["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` edges of any comparable type to ``(node, label)`` for every node of an edge; the
     label is the least node of its component."""
-    now = checkpointed(edges.toDF("a", "b").where(F.col("a") != F.col("b")).distinct())
-    mark = _mark(now)
+    now = edges.toDF("a", "b").where(F.col("a") != F.col("b")).distinct()
+    mark = None
     while True:
         # Arcs point from a node to a smaller one after each pass.
-        now = checkpointed(_small(_large(now).distinct()).distinct())
-        before, mark = mark, _mark(now)
-        if mark == before:
+        now, found = _kept(_small(_large(now)).distinct())
+        if found == mark:
             break
+        mark = found
     stars = now.groupBy("a").agg(F.min("b").alias("b"))
     roots = now.select(F.col("b").alias("node")).distinct().join(stars.select(F.col("a").alias("node")), "node", "left_anti")
     return stars.toDF("node", "label").union(roots.select("node", F.col("node").alias("label")))
