@@ -39,7 +39,10 @@ from textloom.llm.packing import mixed, pack, unpack, window_hashes, word_hashes
 #: Production parameters: words of a window, and of a block (2 * BLOCK - 1 <= WINDOW).
 WINDOW, BLOCK = 13, 7
 #: Words that a task settles at once.
-WORDS_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 1_000_000
+#: Buckets for each home, which gathers what is found for a share of the documents: findings are a
+#: small part of what is sent, and each bucket writes to every home.
+BUCKETS_A_HOME = 8
 SENT = "bucket int, home int, data binary"
 REPLY = "home int, data binary"
 HITS = "id long, check long, hits binary"
@@ -50,7 +53,7 @@ class Sender:
     have the number of the home that gathers what is found for their documents."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.rows = buckets, []
+        self.buckets, self.homes, self.rows = buckets, homes_of(buckets), []
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """The bucket of each hash; in the order of the hashes."""
@@ -58,7 +61,7 @@ class Sender:
 
     def found(self, ids: np.ndarray, checks: np.ndarray, at: np.ndarray) -> None:
         """``at`` holds places in the rows with these ids and checks."""
-        self.rows += [(home, home, data) for home, data in by_home(ids, checks, at, self.buckets)]
+        self.rows += [(home * BUCKETS_A_HOME, home, data) for home, data in by_home(ids, checks, at, self.homes)]
 
     def batch(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows)) or [()] * 3
@@ -66,6 +69,10 @@ class Sender:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "home", "data"])
 
 
+def homes_of(buckets: int) -> int:
+    return -(-buckets // BUCKETS_A_HOME)
+
+
 def by_home(ids: np.ndarray, checks: np.ndarray, at: np.ndarray, homes: int) -> Iterator[tuple[int, bytes]]:
     """(id, check, place) triples as one block for each home."""
     home = ((mixed(ids.astype(np.uint64)) >> np.uint64(32)) * np.uint64(homes)) >> np.uint64(32)
@@ -227,7 +234,7 @@ def round_of(rows: DataFrame, windows, settle, meet, buckets: int) -> DataFrame:
     def receive(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         passed = table.filter(table.column("home").is_valid()).select(["home", "data"])
         blocks = [unpack(x.as_py()) for x in table.filter(table.column("home").is_null()).column("data")]
-        columns = list(zip(*by_home(*meet(blocks), buckets))) if blocks else []
+        columns = list(zip(*by_home(*meet(blocks), homes_of(buckets)))) if blocks else []
         columns = columns or [(), ()]
         more = pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["home", "data"])
         return pa.concat_tables([passed.cast(more.schema), more])
