@@ -120,7 +120,7 @@ def _message_json(text: str) -> str | None:
     def message(end: str | None) -> dict:
         nonlocal place
         out: dict = {}
-        while place < len(tokens) and tokens[place][5] != end:
+        while place < len(tokens) and (end is None or tokens[place][5] != end):
             name = tokens[place][2]
             if not name:
                 raise ValueError("a field's name")

@@ -52,7 +52,7 @@ def process_lines(df: DataFrame, callback: Callable[[str], bool]) -> DataFrame:
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5 (T): each file as one string ``value``."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
