@@ -40,7 +40,7 @@ from textloom.plans.lineage import checked_broadcast, checkpointed
 FLOOR, MIN_GROUP, CORE, STEPS, CUTOFF = (150, 300, 500), 50, 0.5, 3, 21.108
 #: Chi-squared constants for 3 degrees of freedom: 0.975 quantile, and factors that make the
 #: covariance of the closest half, and of the closest 0.975, consistent for normal data.
-Q975, HALF_FACTOR, REWEIGHT_FACTOR = 9.348, 2.513, 1.103
+Q975, HALF_FACTOR, REWEIGHT_FACTOR = 9.348, 2.457, 1.078
 #: Distances are counted in 32nds, up to a last bin that holds all beyond.
 BINS, LAST_BIN = 32, 4095
 SYMBOLS = "#*$%&|<>"

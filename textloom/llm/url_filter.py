@@ -181,7 +181,7 @@ def joined(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     keys = urls.select("host", "path", F.explode(F.filter(ends, lambda x: x != "")).alias("end"), starts.alias("starts"))
-    keys = keys.select("host", "path", F.concat("end", F.explode("starts")).alias("rule"))
+    keys = keys.select("host", "path", "end", F.explode("starts").alias("start")).select("host", "path", F.concat("end", "start").alias("rule"))
     hit = keys.join(rules, "rule").groupBy("host", "path").agg(
         F.max_by(F.struct("rule", "verdict"), F.when(F.col("verdict") == "host", F.struct(F.lit(-1), F.lit(0))).otherwise(F.struct(F.length("rule"), F.instr("rule", "/")))).alias("best")
     )
