@@ -177,7 +177,7 @@ class Network:
         if not self.trained:
             return np.full(len(x), self.prior)
         z = np.clip(self._logits((x - self.mean) / self.scale) / self.temperature, -500, 500)
-        return 1 / (1 + np.exp(-z))
+        return np.round(1 / (1 + np.exp(-z)), 9)  # sums of a batch may differ in their last digits
 
 
 def held_out(id_col: str = "doc_id"):
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     that are not held out."""
     made = checkpointed(features(docs, id_col, text_col))
     truth = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    picked = made.join(truth, "id").orderBy(F.xxhash64("id"), "id", "y").limit(sample).toPandas()
+    picked = made.join(truth, "id").orderBy(F.xxhash64("id"), "id", "y", "x").limit(sample).toPandas()
     x = np.array(picked["x"].tolist(), np.float64).reshape(len(picked), FEATURES)
     network = Network(x, picked["y"].to_numpy(np.float64))
 
