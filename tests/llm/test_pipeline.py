@@ -43,8 +43,21 @@ def test_stages(spark, tmp_path):
     for r in held[5].collect():
         assert r["ids"] == library.encode(r["text"], add_special_tokens=False).ids
 
-    ran = corpus_pipeline.run(spark, str(tmp_path))
-    assert Counter((r["doc_id"], r["text"], tuple(r["ids"])) for r in ran.collect()) == Counter((r["doc_id"], r["text"], tuple(r["ids"])) for r in held[5].collect())
+
+def test_run_writes_between_stages(spark, tmp_path, monkeypatch):
+    seen = []
+
+    def stage(name):
+        def run(spark, docs, sf_dir):
+            seen.append((name, len(docs.inputFiles()), docs.count()))
+            return docs.where("doc_id % 2 = 0" if name == "first" else "true")
+
+        return name, run
+
+    spark.createDataFrame(corpus(10), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("first"), stage("second"), stage("third")])
+    n = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert [x[0] for x in seen] == ["first", "second", "third"] and all(x[1] > 0 for x in seen) and seen[1][2] == seen[2][2] == n
 
 
 def test_names():

@@ -11,9 +11,10 @@ pairs on their full sets.
 
 Only components are wanted, so pairs that are connected already are not compared. The first round
 takes, of each small node, a spanning forest of the most similar candidates, and of each large node
-the candidates with one of its members. A large node in which all are such candidates waits, instead
-of being branched, until these are confirmed, and is branched only if they leave it in several
-components. The last round takes all candidates between different components that are left.
+the candidates with one of its members, its pivot. The classes that are such candidates then wait until
+these are confirmed, and are branched only if they turn out to be in several components. If at most
+``LEAF`` classes of the node are not, these are compared with all of it at once; else the node is
+branched. The last round takes all candidates between different components that are left.
 
 Defined results
 ---------------
@@ -40,10 +41,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.packing import window_hashes, word_hashes
 from textloom.plans.components import components
@@ -51,9 +54,10 @@ from textloom.plans.lineage import checked_broadcast, checkpointed
 
 #: Production parameters: words of a shingle, percent of similarity, recall aimed at.
 WIDTH, PERCENT, RECALL = 5, 75, 0.999999
-#: Minwise values; children of a class at a node; classes of a node that is compared exhaustively;
-#: levels before a node is compared in blocks instead.
-COORDINATES, BRANCHES, LEAF, LEVELS = 96, 2, 512, 16
+#: Minwise values, of which the first ``TOKENS`` are kept whole for choosing and all by their lowest
+#: byte for estimates; children of a class at a node; classes of a node that is compared
+#: exhaustively; levels before a node is compared in blocks instead.
+COORDINATES, TOKENS, BRANCHES, LEAF, LEVELS = 256, 24, 2, 512, 16
 #: Deviations of the minwise estimate below the threshold at which a pair is still confirmed.
 MARGIN = 5
 _RANDOM = np.random.Generator(np.random.PCG64(11))
@@ -70,8 +74,9 @@ def trees_for(recall: float = RECALL, percent: int = PERCENT) -> int:
 
 
 def least_agreeing(percent: int = PERCENT) -> int:
-    """Minwise values in which a pair at the threshold agrees, up to chance."""
+    """Bytes of minwise values in which a pair at the threshold agrees, up to chance."""
     s = percent / 100
+    s += (1 - s) / 256
     return math.floor(COORDINATES * s - MARGIN * math.sqrt(COORDINATES * s * (1 - s)))
 
 
@@ -94,37 +99,43 @@ def minwise(sets: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """``(id, check, text)`` to ``(id, check, digest, n, sig)``; digest and sig null for empty sets."""
+    """``(id, check, text)`` to ``(id, check, digest, n, tokens, sig)``: the last and the digest are
+    null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, sigs = [], [], []
+            digests, sizes, tokens, sigs = [], [], [], []
             for text in batch.column(2):
                 own = shingles(text.as_py())
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                sigs.append(minwise(own).view(np.int32) if len(own) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "check", "digest", "n", "sig"])
+                least = minwise(own) if len(own) else None
+                tokens.append(None if least is None else least[:TOKENS].view(np.int32))
+                sigs.append(None if least is None else least.astype(np.uint8).tobytes())
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "check", "digest", "n", "tokens", "sig"])
 
-    return rows.mapInArrow(sign, "id long, check long, digest binary, n long, sig array<int>")
+    return rows.mapInArrow(sign, "id long, check long, digest binary, n long, tokens array<int>, sig binary")
 
 
-def child(node: Column, j: int, sig: str = "sig") -> Column:
+def child(node: Column, j: int) -> Column:
     """The child of a node to which a class goes with its j-th chosen token."""
-    at = F.pmod(F.xxhash64(node, F.lit(j)), F.lit(COORDINATES)).cast("int")
-    return F.xxhash64(node, F.lit(j), at, F.get(F.col(sig), at))
+    at = F.pmod(F.xxhash64(node, F.lit(j)), F.lit(TOKENS)).cast("int")
+    return F.xxhash64(node, F.lit(j), at, F.get(F.col("tokens"), at))
 
 
 def roots(classes: DataFrame, trees: int) -> DataFrame:
     """The nodes below the root of each tree: ``(node, digest)``. The first trees choose different
     tokens, so that no chance is lost on the level that most pairs are found at."""
-    chosen = [F.xxhash64(F.lit(i // BRANCHES), F.lit(i % BRANCHES), F.lit(i % COORDINATES), F.get("sig", F.lit(i % COORDINATES))) for i in range(trees * BRANCHES)]
+    chosen = [F.xxhash64(F.lit(i // BRANCHES), F.lit(i % BRANCHES), F.lit(i % TOKENS), F.get("tokens", F.lit(i % TOKENS))) for i in range(trees * BRANCHES)]
     return classes.select(F.explode(F.array_distinct(F.array(*chosen))).alias("node"), "digest")
 
 
-def agreeing(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, a: n + a)
+@F.pandas_udf(T.IntegerType())
+def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
+    """In how many bytes two signatures agree."""
+    a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, COORDINATES) for v in (x, y))
+    return pd.Series((a == b).sum(axis=1, dtype=np.int32))
 
 
 def leaf_pairs(leaves: DataFrame, least: int, forest: bool) -> DataFrame:
@@ -133,7 +144,7 @@ def leaf_pairs(leaves: DataFrame, least: int, forest: bool) -> DataFrame:
 
     def compare(digests: list[bytes], labels: list[bytes], sig: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         # Rows in parts, so that a part of the comparison stays in the cache.
-        agree = np.concatenate([(sig[i : i + 32, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.uint8) for i in range(0, len(sig), 32)])
+        agree = np.concatenate([(sig[i : i + 32, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16) for i in range(0, len(sig), 32)])
         group = np.unique(np.array(labels, object), return_inverse=True)[1]
         x, y = np.nonzero(np.triu(agree >= least, 1) & (group[:, None] != group[None, :]))
         order = np.argsort(agree[x, y], kind="stable")[::-1]
@@ -169,7 +180,7 @@ def leaf_pairs(leaves: DataFrame, least: int, forest: bool) -> DataFrame:
     def parts(table: pa.Table, cuts: list[int]) -> Iterator[tuple[list, list, np.ndarray]]:
         if table.num_rows:
             digests, labels = (table.column(c).to_pylist() for c in ("digest", "label"))
-            sig = np.concatenate([x.flatten().to_numpy() for x in table.column("sig").chunks]).reshape(-1, COORDINATES)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             for i, j in zip(cuts, cuts[1:]):
                 if j - i > 1:
                     yield digests[i:j], labels[i:j], sig[i:j]
@@ -200,7 +211,7 @@ class Join:
         self.trees, self.least = trees_for(recall, percent), least_agreeing(percent)
         self.signed = checkpointed(signatures(rows))
         own = self.signed.where(F.col("digest").isNotNull()).groupBy("digest")
-        self.classes = checkpointed(own.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("first"), F.min("id").alias("least_id"), F.first("sig").alias("sig")))
+        self.classes = checkpointed(own.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("first"), F.min("id").alias("least_id"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig")))
         self.links: DataFrame | None = None  # (a, b): confirmed, later (node, label)
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
@@ -247,20 +258,24 @@ class Join:
                 break
             pivots = large.select("node", "pivot").distinct().join(sigs.toDF("pivot", "pivot_sig"), "pivot")
             near = (F.col("digest") == F.col("pivot")) | (agreeing("sig", "pivot_sig") >= self.least)
-            judged = large.drop("pivot").join(sigs, "digest").join(pivots, "node").withColumn("near", near)
-            judged = checkpointed(judged.select("node", "digest", "size", "pivot", "near", "sig"))
+            judged = large.drop("pivot").join(sigs, "digest").join(pivots, "node").select("node", "digest", "size", "pivot", near.alias("near"))
+            judged = checkpointed(judged)
             stars.append(judged.where(F.col("near") & (F.col("digest") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("digest").alias("b")))
-            far = judged.where(~F.col("near")).select("node").distinct()
-            waiting.append(judged.join(far, "node", "left_anti").select("node", "digest", "size"))
-            mixed = judged.join(far, "node", "left_semi")
+            far = judged.where(~F.col("near")).groupBy("node").agg(F.count("*").alias("far"))
+            split = judged.join(far, "node", "left").withColumn("far", F.coalesce("far", F.lit(0)))
+            # Those near the pivot wait together; the few others are compared with them and each other.
+            few = split.where(F.col("far") <= LEAF)
+            waiting.append(few.where("near").select("node", "digest", (F.col("size") - F.col("far")).alias("size")))
+            leaves = leaves.union(self.in_parts(few.where(F.col("far") > 0)))
+            many = split.where(F.col("far") > LEAF)
             if level == LEVELS:
-                return leaves.union(self.in_blocks(mixed)), stars, waiting
-            nodes = self.children(mixed)
+                return leaves.union(self.in_blocks(many)), stars, waiting
+            nodes = self.children(many.select("node", "digest").join(self.classes.select("digest", "tokens"), "digest"))
         return leaves, stars, waiting
 
     @staticmethod
     def children(nodes: DataFrame) -> DataFrame:
-        """``(node, digest, sig)`` to ``(node, digest)`` one level down."""
+        """``(node, digest, tokens)`` to ``(node, digest)`` one level down."""
         return nodes.select(F.explode(F.array(*(child(F.col("node"), j) for j in range(BRANCHES)))).alias("node"), "digest")
 
     def open(self, nodes: DataFrame) -> DataFrame:
@@ -269,6 +284,15 @@ class Join:
         several = named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("node")
         return named.join(several, "node", "left_semi")
 
+    @staticmethod
+    def in_parts(nodes: DataFrame) -> DataFrame:
+        """Nodes with few classes far from the pivot, as small nodes: all of these in each, and a part
+        of those near it."""
+        parts = F.ceil((F.col("size") - F.col("far")) / F.lit(LEAF)).cast("long")
+        own = F.array(F.pmod(F.xxhash64("digest", F.lit(2)), parts))
+        part = F.explode(F.when(F.col("near"), own).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("part")
+        return nodes.select("node", "digest", part).select(F.xxhash64("node", F.lit(-1), "part").alias("node"), "digest")
+
     @staticmethod
     def in_blocks(nodes: DataFrame) -> DataFrame:
         """Nodes that stayed large, as one small node for each pair of their blocks."""
@@ -292,7 +316,7 @@ class Join:
             if not waiting:
                 break
             left = self.open(reduce(DataFrame.union, waiting).select("node", "digest", "size")).drop("label")
-            left = checkpointed(left.join(sigs, "digest"))
+            left = checkpointed(left.join(self.classes.select("digest", "tokens"), "digest"))
             if left.isEmpty():
                 break
             if turn == LEVELS - 1:
@@ -310,7 +334,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     join = Join(rows, recall, percent)
     found = checked_broadcast(join.run())
     label = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
-    out = join.signed.drop("sig").join(found, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label)
+    out = join.signed.drop("sig", "tokens").join(found, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
@@ -320,7 +344,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("check")
     join = Join(docs.select(*own, text.alias("text")), recall, percent)
     found = checked_broadcast(join.run())
-    dropped = join.signed.drop("sig").join(found, "digest").where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone_id"), F.col("check").alias("gone_check")).distinct()
+    dropped = join.signed.drop("sig", "tokens").join(found, "digest").where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone_id"), F.col("check").alias("gone_check")).distinct()
     whole = docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
     gone = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("check") == F.col("gone_check"))
     return whole.join(checked_broadcast(dropped), gone, "left_anti").select("whole.*")
