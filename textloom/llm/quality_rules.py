@@ -191,7 +191,9 @@ def scored(table: DataFrame, model: DataFrame) -> DataFrame:
     d2 = quadratic(d, {p: F.col(f"a{p[0]}{p[1]}") for p in PAIRS})
     distance = F.when(~F.col("base_failed"), d2).alias("distance")
     out = table.join(model, same_group(), "left").select(*table.columns, distance)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
+    # One condition over both sides of the join: a filter on a part of it would be pushed below the
+    # counts, and count every text again for each use of them.
+    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
 
 
 def own_columns(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> list[Column]:
