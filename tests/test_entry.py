@@ -45,6 +45,6 @@ def test_without_the_subpackage(tmp_path):
     code = f"import sys; sys.path.insert(0, {str(tmp_path)!r}); import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
     root = __spark_entry__.__file__.rpartition("/")[0]
     subprocess.run(["cp", "-r", f"{root}/textloom", f"{root}/__spark_entry__.py", str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", f"{tmp_path}/textloom/llm"], check=True)
+    subprocess.run(["rm", "-rf", f"{tmp_path}/textloom/llm"], check=True)
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert out.stdout.split() == [str(len(catalogue.QUERIES)), "False"], out.stderr
