@@ -16,7 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the boilerplate lines of each source; ``n_chars`` follows the text."""
-    out = line_dedup.without_boilerplate(docs)
+    out = line_dedup.without_boilerplate(docs, ratio=line_dedup.RATIO)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

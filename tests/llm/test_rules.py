@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, mixing, quality_rules, url_filter
+import corpus_pipeline
+from textloom.llm import line_dedup, mixing, quality_rules, queries, url_filter
 
 from .helpers import SCHEMA, corpus, words
 
@@ -123,6 +124,19 @@ def test_line_dedup(spark):
     assert got[200] == (None, 0, 0) and got[201] == ("", 0, 0) and got[202] == ("menu", 1, 0)
 
 
+def test_line_dedup_where_sources_stand_for_hosts(spark, tmp_path):
+    """A line on 5 to 10 % of a source's pages goes; one on 1 % and those that are not repeated stay."""
+    rows = []
+    for i in range(600):
+        lines = [f"body {i}", *(["menu"] if i % 20 == 0 else []), *(["footer"] if i % 11 == 0 else []), *(["licence"] if i % 100 == 0 else [])]
+        rows.append((i, "\n".join(lines), "en", "a", 0))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_dropped"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (i % 20 == 0) + (i % 11 == 0) for i in range(600)}
+    staged = corpus_pipeline.line_stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r["text"] for r in staged.collect()} == {f"body {i}" + ("\nlicence" if i % 100 == 0 else "") for i in range(600)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality_rules.judged(none).collect() == [] and quality_rules.passing(none).collect() == []

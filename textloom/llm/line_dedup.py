@@ -6,7 +6,9 @@ Defined results
 * Lines are what ``\\n`` separates. Only lines with a word are judged; blank lines stay.
 * Pages of one site with the same text count as one page, in a line's count and in the site's
   total, so a large group of exact copies is not taken for boilerplate.
-* A line goes if it is on at least ``min_pages`` pages and on more than ``ratio`` of them.
+* A line goes if it is on at least ``min_pages`` pages and on more than ``ratio`` of its site's.
+* The default ratio is for a column of hosts. A source mixes hosts, which thins the share of each one's
+  lines, so where a source stands for the host the ratio is ``RATIO``.
 * A null text stays null and counts as no page; a null site is a site of its own. An empty table
   gives an empty table. Repeated rows are judged alike.
 * The other columns are passed on untouched, whatever their names.
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from textloom.llm.text import WORD, fresh
 from textloom.plans.lineage import checked_broadcast
 
-#: Production parameters.
-RATIO, MIN_PAGES = 0.1, 5
+#: Production parameters: share of a source's pages, fewest pages; share where the site is a host.
+RATIO, MIN_PAGES, HOST_RATIO = 0.02, 5, 0.1
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = HOST_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """For each site that has any: ``(site, lines)``, the MD5 digests of its boilerplate lines."""
     text = F.col(f"`{text_col}`")
     pages = docs.where(text.isNotNull()).select(
@@ -46,7 +48,7 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return common.groupBy(F.col("c.site").alias("site")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def without_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def without_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", ratio: float = HOST_RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of the text.
 
     ``counts`` adds ``n_lines`` and ``n_dropped`` (longs; 0 for null) at the end, under names made

@@ -36,7 +36,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites are the documents' sources. Lines with a word, those dropped, and what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = line_dedup.without_boilerplate(docs, counts=True)
+    out = line_dedup.without_boilerplate(docs, ratio=line_dedup.RATIO, counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
