@@ -1,9 +1,12 @@
 """Lines, dictionaries, word counts, graphs and streams."""
 
+import unicodedata
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import graph, matching, training
+from textloom.operators import catalogue, graph, matching, training
 from textloom.plans.lineage import checked_broadcast
 from textloom.sources import lines
 from textloom.streaming import lines as streams
@@ -70,6 +73,31 @@ def test_suffix_first(spark):
     assert values(matching.substring_matches(keys(spark, "aab"), "key", words(spark, "a", "ab")).select("word", "position")) == [("a", 0), ("a", 1), ("ab", 1)]
 
 
+def letter_words(text):
+    """Runs of letters and marks that begin with a letter, in lower case."""
+    runs = ("".join(c for c in g) for k, g in groupby(text or "", lambda c: unicodedata.category(c)[0] in "LM") if k)
+    cut = (r.lstrip("".join(c for c in r if unicodedata.category(c)[0] == "M")) if unicodedata.category(r[0])[0] == "M" else r for r in runs)
+    return [r.lower() for r in cut if r]
+
+
+def test_dictionary_over_all_words(spark, tmp_path):
+    """Not the first word alone, none cut at an accent, and texts that begin otherwise."""
+    texts = ["The été, there LA einé", "12 une\nthe-der", "", None, "éthe \u4e2dla los-los", "(station) their"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: values(catalogue.QUERIES[name](spark, str(tmp_path)))
+    index = {w: i for i, w in enumerate(sorted(catalogue.WORDS))}
+    every = [(i, at, k) for i, t in enumerate(texts) for at, k in enumerate(letter_words(t))]
+    assert run("dict_exact_words") == sorted((i, at, k, index[k], len(k)) for i, at, k in every if k in index)
+    distinct = {k for _, _, k in every}
+    assert run("dict_prefix_words") == sorted((k, w, index[w], len(w)) for k in distinct for w in index if k.startswith(w))
+    places = [(k, w, len(k[:p].encode())) for k in distinct for w in index for p in range(len(k)) if k.startswith(w, p)]
+    assert run("dict_substring_words") == sorted(places)
+    first = {k: min((x for x in places if x[0] == k), key=lambda x: (x[2], -len(x[1]))) for k in {x[0] for x in places}}
+    assert run("dict_first_substring_words") == sorted(first.values())
+    assert (0, 3, "la", index["la"], 2) in run("dict_exact_words") and (1, 0, "une", index["une"], 3) in run("dict_exact_words")
+
+
 def test_indexed_dictionary(spark):
     d = matching.indexed(words(spark, "ALGOL", "ANSI", "ARCO", "ARPA", "ARPANET", "ASCII"))
     found = matching.exact_match(keys(spark, "ALGOL", "nothing"), "key", d).first()

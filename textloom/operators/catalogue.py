@@ -44,6 +44,12 @@ def _first_word(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("key"))
 
 
+def _all_words(docs: DataFrame) -> DataFrame:
+    """Every word of every text, a run of letters of any script, with its place among them."""
+    found = F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}]*"), 0)
+    return docs.select("doc_id", F.posexplode(F.transform(found, F.lower)).alias("at", "key"))
+
+
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1))"
 
 
@@ -272,6 +278,32 @@ def dict_first_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.first_substring_match(_first_word(table(spark, sf_dir, "documents")), "key", _words(spark))
 
 
+@query()
+def dict_exact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-1, DIC-2, DIC-10 to DIC-12, FLT-4 over every word of the texts: held against brute force in tests."""
+    found = matching.exact_match(_all_words(table(spark, sf_dir, "documents")), "key", F.broadcast(_words(spark)))
+    return found.select("doc_id", "at", "key", "idx", F.octet_length("word").alias("length"))
+
+
+@query()
+def dict_prefix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-3, DIC-6, DIC-9 over the distinct words of the texts: held against brute force in tests."""
+    found = matching.prefix_matches(_all_words(table(spark, sf_dir, "documents")), "key", _words(spark))
+    return found.select("key", "word", "idx", "length")
+
+
+@query()
+def dict_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-8 over the distinct words of the texts: held against brute force in tests."""
+    return matching.substring_matches(_all_words(table(spark, sf_dir, "documents")), "key", _words(spark)).select("key", "word", "position")
+
+
+@query()
+def dict_first_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-7 over the distinct words of the texts: held against brute force in tests."""
+    return matching.first_substring_match(_all_words(table(spark, sf_dir, "documents")), "key", _words(spark))
+
+
 _PART_WORDS = "select unnest(string_split(p_name, ' ')) as word from part"
 
 
