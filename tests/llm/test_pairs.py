@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from textloom.llm import near_dedup, substring_dedup
@@ -60,6 +61,32 @@ def test_trees_and_threshold():
     assert near_dedup.least_agreeing() < near_dedup.COORDINATES * 0.75
 
 
+def test_recall_of_trees_that_choose_from_the_same_tokens():
+    """At any depth, and with the agreement that real pairs at 0.75 to 0.78 have."""
+    trees = near_dedup.trees_for()
+    assert all(near_dedup.missed(trees, levels=depth) <= 1 - near_dedup.RECALL for depth in (1, 3, 5, 8, near_dedup.LEVELS))
+    rng, lost = np.random.default_rng(2), []
+    for k in range(400):
+        own = rng.integers(0, 2**64, 1000, np.uint64)
+        other = own.copy()
+        changed = 124 + k % 19  # similarity (1000 - changed) / (1000 + changed): 0.78 to 0.75
+        other[:changed] = rng.integers(0, 2**64, changed, np.uint64)
+        p, stays = (near_dedup.minwise(own) == near_dedup.minwise(other)).mean(), 1.0
+        for _ in range(near_dedup.LEVELS):
+            stays = 1 - (1 - p * stays) ** near_dedup.BRANCHES
+        lost.append((1 - stays) ** trees)
+    assert np.mean(lost) <= 1 - near_dedup.RECALL
+
+
+def test_tokens_come_from_all_coordinates(spark):
+    """Two classes that agree in all but the first 24 values stay together at most nodes."""
+    n = near_dedup.COORDINATES
+    rows = [(node, digest, [x if k < 24 else k for k in range(n)]) for node in range(200) for x, digest in ((-1, "a"), (-2, "b"))]
+    out = near_dedup.Join.children(spark.createDataFrame(rows, "node long, digest string, tokens array<int>"))
+    found = {k: {r["node"] for r in out.where(f"digest = '{k}'").collect()} for k in "ab"}
+    assert len(found["a"]) == 400 and len(found["a"] & found["b"]) > 300
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_dedup.components_of(none).collect() == []

@@ -4,9 +4,10 @@ A document's set is that of its distinct 5-word shingles. Documents with equal s
 everything below works on classes. Each class has ``COORDINATES`` minwise values. A tree starts with
 all classes in one node; a node with more than ``LEAF`` classes is branched: each class chooses
 ``BRANCHES`` of its minwise tokens, by a hash of the node, and goes to one child for each. A pair that
-agrees in 3 of 4 tokens stays together somewhere in a tree with probability 0.88 or more at any depth
-(the fixed point of q = 1 - (1 - 0.75 q)^2), so ``trees_for`` independent trees miss a share of
-1 - recall at most. Small nodes are compared exhaustively: by minwise estimates first, then candidate
+agrees in a share p of its tokens stays together somewhere in a tree with the probability that
+q = 1 - (1 - p q)^2 gives for the depth. All trees choose from the same tokens, so they are independent
+only given p: ``trees_for`` sums over the binomial number of agreeing tokens, at the greatest depth, and
+takes as many trees as miss a share of 1 - recall at most. Small nodes are compared exhaustively: by minwise estimates first, then candidate
 pairs on their full sets.
 
 Only components are wanted, so pairs that are connected already are not compared. The first round
@@ -31,7 +32,7 @@ At scale
 Rows of a tree are a node number and a class digest. Sizes of nodes are counted with partial sums, a
 node with a third of all classes meets no single task: joins on it are split by AQE, and groups are
 gathered only where the count is ``LEAF`` at most. Full sets are built again from the texts, for
-documents in a candidate pair only. Components are found by distributed stars.
+documents in a candidate pair only, and whole minwise values for classes in a large node only. Components are found by distributed stars.
 """
 
 from __future__ import annotations
@@ -54,10 +55,10 @@ from textloom.plans.lineage import checked_broadcast, checkpointed
 
 #: Production parameters: words of a shingle, percent of similarity, recall aimed at.
 WIDTH, PERCENT, RECALL = 5, 75, 0.999999
-#: Minwise values, of which the first ``TOKENS`` are kept whole for choosing and all by their lowest
-#: byte for estimates; children of a class at a node; classes of a node that is compared
-#: exhaustively; levels before a node is compared in blocks instead.
-COORDINATES, TOKENS, BRANCHES, LEAF, LEVELS = 256, 24, 2, 512, 16
+#: Minwise values, all of them for choosing and by their lowest byte for estimates; children of a class
+#: at a node; classes of a node that is compared exhaustively; levels before a node is compared in
+#: blocks instead.
+COORDINATES, BRANCHES, LEAF, LEVELS = 256, 2, 512, 16
 #: Deviations of the minwise estimate below the threshold at which a pair is still confirmed.
 MARGIN = 5
 _RANDOM = np.random.Generator(np.random.PCG64(11))
@@ -65,12 +66,23 @@ _TIMES = _RANDOM.integers(0, 2**31, (COORDINATES, 1), np.uint32) * np.uint32(2)
 _PLUS = _RANDOM.integers(0, 2**32, (COORDINATES, 1), np.uint32)
 
 
+def missed(trees: int, percent: int = PERCENT, levels: int | None = None) -> float:
+    """The share of pairs at the threshold that no tree keeps together down to a depth."""
+    s, total = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        stays = 1.0
+        for _ in range(LEVELS if levels is None else levels):
+            stays = 1 - (1 - k / COORDINATES * stays) ** BRANCHES
+        total += math.comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k) * (1 - stays) ** trees
+    return total
+
+
 def trees_for(recall: float = RECALL, percent: int = PERCENT) -> int:
-    """Independent trees that find a pair at the threshold with probability ``recall``."""
-    s, stays = percent / 100, 1.0
-    for _ in range(LEVELS):
-        stays = 1 - (1 - s * stays) ** BRANCHES
-    return math.ceil(math.log(1 - recall) / math.log(1 - stays))
+    """Trees that find a pair at the threshold with probability ``recall`` at any depth."""
+    trees = 1
+    while trees * BRANCHES < COORDINATES and missed(trees, percent) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def least_agreeing(percent: int = PERCENT) -> int:
@@ -98,9 +110,9 @@ def minwise(sets: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """``(id, check, text)`` to ``(id, check, digest, n, tokens, sig)``: the last and the digest are
-    null for empty sets."""
+def signatures(rows: DataFrame, first: int) -> DataFrame:
+    """``(id, check, text)`` to ``(id, check, digest, n, tokens, sig)``: the last two and the digest are
+    null for empty sets, and ``tokens`` are the first ``first``, for the roots."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +122,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 least = minwise(own) if len(own) else None
-                tokens.append(None if least is None else least[:TOKENS].view(np.int32))
+                tokens.append(None if least is None else least[:first].view(np.int32))
                 sigs.append(None if least is None else least.astype(np.uint8).tobytes())
             columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "check", "digest", "n", "tokens", "sig"])
@@ -120,14 +132,14 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def child(node: Column, j: int) -> Column:
     """The child of a node to which a class goes with its j-th chosen token."""
-    at = F.pmod(F.xxhash64(node, F.lit(j)), F.lit(TOKENS)).cast("int")
+    at = F.pmod(F.xxhash64(node, F.lit(j)), F.lit(COORDINATES)).cast("int")
     return F.xxhash64(node, F.lit(j), at, F.get(F.col("tokens"), at))
 
 
 def roots(classes: DataFrame, trees: int) -> DataFrame:
-    """The nodes below the root of each tree: ``(node, digest)``. The first trees choose different
-    tokens, so that no chance is lost on the level that most pairs are found at."""
-    chosen = [F.xxhash64(F.lit(i // BRANCHES), F.lit(i % BRANCHES), F.lit(i % TOKENS), F.get("tokens", F.lit(i % TOKENS))) for i in range(trees * BRANCHES)]
+    """The nodes below the root of each tree: ``(node, digest)``. All trees choose different tokens, so
+    that no chance is lost on the level that most pairs are found at."""
+    chosen = [F.xxhash64(F.lit(i // BRANCHES), F.lit(i % BRANCHES), F.lit(i), F.get("tokens", F.lit(i))) for i in range(trees * BRANCHES)]
     return classes.select(F.explode(F.array_distinct(F.array(*chosen))).alias("node"), "digest")
 
 
@@ -209,10 +221,33 @@ class Join:
     def __init__(self, rows: DataFrame, recall: float, percent: int):
         self.rows, self.percent = rows, percent
         self.trees, self.least = trees_for(recall, percent), least_agreeing(percent)
-        self.signed = checkpointed(signatures(rows))
+        self.signed = checkpointed(signatures(rows, self.trees * BRANCHES))
         own = self.signed.where(F.col("digest").isNotNull()).groupBy("digest")
         self.classes = checkpointed(own.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("first"), F.min("id").alias("least_id"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig")))
         self.links: DataFrame | None = None  # (a, b): confirmed, later (node, label)
+        self.tokens: DataFrame | None = None  # (digest, tokens): all of them, of classes in a large node
+
+    def texts_of(self, digests: DataFrame) -> DataFrame:
+        """A text of each of these classes, more where rows repeat."""
+        wanted = checked_broadcast(self.classes.join(digests, "digest").select(F.col("first.id").alias("want_id"), F.col("first.check").alias("want_check")))
+        return self.rows.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("check") == F.col("want_check"))).select("text")
+
+    def with_tokens(self, nodes: DataFrame, new: bool) -> DataFrame:
+        """``(node, digest)`` of large nodes with all minwise values of the class. These are made where
+        ``nodes`` may be ``new``, not below nodes that were given before."""
+        if new:
+
+            def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    own = [shingles(x.as_py()) for x in batch.column(0)]
+                    digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([digests, pa.array([minwise(x).view(np.int32) for x in own], pa.list_(pa.int32()))], ["digest", "tokens"])
+
+            wanted = nodes.select("digest").distinct()
+            wanted = wanted if self.tokens is None else wanted.join(self.tokens, "digest", "left_anti")
+            made = checkpointed(self.texts_of(wanted).mapInArrow(build, "digest binary, tokens array<int>").dropDuplicates(["digest"]))
+            self.tokens = made if self.tokens is None else self.tokens.union(made.join(self.tokens, "digest", "left_anti"))
+        return nodes.select("node", "digest").join(self.tokens, "digest")
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` with the label of each digest's component; alone, its own digest."""
@@ -225,8 +260,7 @@ class Join:
         """Keeps the pairs whose full sets are similar enough, and the components they make."""
         pairs = checkpointed(pairs)
         used = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-        wanted = checked_broadcast(self.classes.join(used, "digest").select(F.col("first.id").alias("want_id"), F.col("first.check").alias("want_check")))
-        texts = self.rows.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("check") == F.col("want_check"))).select("text")
+        texts = self.texts_of(used)
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -270,7 +304,7 @@ class Join:
             many = split.where(F.col("far") > LEAF)
             if level == LEVELS:
                 return leaves.union(self.in_blocks(many)), stars, waiting
-            nodes = self.children(many.select("node", "digest").join(self.classes.select("digest", "tokens"), "digest"))
+            nodes = self.children(self.with_tokens(many, new=self.tokens is None))
         return leaves, stars, waiting
 
     @staticmethod
@@ -316,12 +350,12 @@ class Join:
             if not waiting:
                 break
             left = self.open(reduce(DataFrame.union, waiting).select("node", "digest", "size")).drop("label")
-            left = checkpointed(left.join(self.classes.select("digest", "tokens"), "digest"))
+            left = checkpointed(left)
             if left.isEmpty():
                 break
             if turn == LEVELS - 1:
                 leaves = leaves.union(self.in_blocks(left))
-            nodes = self.children(left)
+            nodes = self.children(self.with_tokens(left, new=True))
         self.confirm(leaf_pairs(self.open(leaves).join(sigs, "digest"), self.least, forest=False))
         named = self.labelled(self.classes.select("digest", "least_id"))
         return named.join(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("digest", "component_id")
