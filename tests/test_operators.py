@@ -98,6 +98,14 @@ def test_dictionary_over_all_words(spark, tmp_path):
     assert (0, 3, "la", index["la"], 2) in run("dict_exact_words") and (1, 0, "une", index["une"], 3) in run("dict_exact_words")
 
 
+def test_staged_conversion_of_every_row(spark, tmp_path):
+    """Rows that hold a 'TH' of their own are there too, and stage two converts it alike."""
+    rows = [(1, "the cat"), (2, "THE the"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = {r["item_id"]: r["staged"] for r in catalogue.QUERIES["staged_conversion"](spark, str(tmp_path)).collect()}
+    assert out == {1: "ze cat", 2: "zeE ze", 3: "", 4: None}
+
+
 def test_indexed_dictionary(spark):
     d = matching.indexed(words(spark, "ALGOL", "ANSI", "ARCO", "ARPA", "ARPANET", "ASCII"))
     found = matching.exact_match(keys(spark, "ALGOL", "nothing"), "key", d).first()
