@@ -1,6 +1,8 @@
 """The pipeline's stages against brute-force versions, each on its own input."""
 
-from collections import Counter
+import hashlib
+import math
+from collections import Counter, defaultdict
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -9,6 +11,7 @@ import corpus_pipeline
 from textloom.llm import mixing, quality_rules
 
 from .helpers import SCHEMA, corpus, near_components, words
+from .test_rules import expected_targets
 
 
 def test_stages(spark, tmp_path):
@@ -44,6 +47,40 @@ def test_stages(spark, tmp_path):
         assert r["ids"] == library.encode(r["text"], add_special_tokens=False).ids
 
 
+def read(df):
+    return Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+
+
+def test_line_stage_against_plain_python(spark, tmp_path):
+    """The shares of lines told again: at least 5 pages and more than 0.02 of the source's."""
+    rows = corpus(80, seed=9)
+    pages, on = defaultdict(set), defaultdict(set)
+    for _, text, _, source, _ in rows:
+        if text is not None:
+            pages[source].add(text)
+            for line in text.split("\n"):
+                on[source, line].add(text)
+    bad = {k for k, n in on.items() if words(k[1]) and len(n) >= 5 and len(n) > 0.02 * len(pages[k[0]])}
+    cut = lambda text, source: None if text is None else "\n".join(x for x in text.split("\n") if (source, x) not in bad)
+    expected = Counter((r[0], cut(r[1], r[3]), r[3]) for r in rows)
+    assert read(corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))) == expected
+    assert expected != Counter((r[0], r[1], r[3]) for r in rows) and any(words(r[1]) for r in expected)
+
+
+def test_mixing_stage_against_plain_python(spark, tmp_path):
+    """The copies told again: the whole part of the rate, and one more by the id's MD5 draw."""
+    rows = corpus(80, seed=9)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    target, expected = expected_targets(dict(sizes)), Counter()
+    for i, text, _, source, _ in rows:
+        rate = target[source] / sizes[source] if sizes[source] else 0.0
+        draw = int(hashlib.md5(f"{'' if i is None else i}:20".encode()).hexdigest()[:13], 16) / 2**52
+        expected[(i, text, source)] += math.floor(rate) + (draw < rate - math.floor(rate))
+    assert read(corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))) == +expected
+
+
 def test_run_writes_between_stages(spark, tmp_path, monkeypatch):
     seen = []
 
