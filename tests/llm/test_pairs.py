@@ -8,7 +8,7 @@ import pytest
 from textloom.llm import near_dedup, substring_dedup
 from textloom.plans.components import components
 
-from .helpers import SCHEMA, corpus, kept_words, near_components
+from .helpers import SCHEMA, corpus, kept_words, near_components, shingles
 
 
 @pytest.fixture(scope="module")
@@ -25,15 +25,22 @@ def test_near_dedup(spark, rows):
     assert Counter(map(tuple, out.collect())) == near_components(pairs(rows))
 
 
-def test_near_dedup_where_nodes_are_branched(spark, monkeypatch):
+def odd_groups():
     """A group of near copies and a common line, each larger than a node that is compared at once."""
     base = [f"w{i}" for i in range(80)]
     line = [f"common{i}" for i in range(12)]
     texts = [" ".join(base[:j] + [f"new{j}"] + base[j + 1 :]) for j in range(0, 80, 2)]
     texts += [" ".join(line + [f"u{j}x{k}" for k in range(12)]) for j in range(40)]
     texts += [" ".join(line + [f"u{j}x{k}" for k in range(12)] + ["end"]) for j in range(0, 40, 4)]
-    rows = list(enumerate(texts))
-    monkeypatch.setattr(near_dedup, "LEAF", 6)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("small, capacity, shingles", [(6, 32768, 1 << 20), (4, 12, 1 << 20), (6, 12, 400), (2048, 32768, 300)])
+def test_near_dedup_where_nodes_are_branched(spark, monkeypatch, small, capacity, shingles):
+    """In a task, by shuffles, and with groups that are taken by blocks."""
+    for name, value in (("SMALL", small), ("CAPACITY", capacity), ("SHINGLES", shingles)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = odd_groups()
     out = near_dedup.components_of(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(map(tuple, out.collect())) == near_components(rows)
 
@@ -41,23 +48,29 @@ def test_near_dedup_where_nodes_are_branched(spark, monkeypatch):
 def test_near_dedup_in_blocks(spark, monkeypatch):
     """Where levels run out, nodes are compared in blocks and no link is lost."""
     rows = [(i, f"{'same words all over again here ' * 3}{i % 7} tail{i}") for i in range(40)]
-    monkeypatch.setattr(near_dedup, "LEAF", 4)
-    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    for name, value in (("SMALL", 2), ("CAPACITY", 4), ("LEVELS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup, "trees_for", lambda *a: 4)
     out = near_dedup.components_of(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(map(tuple, out.collect())) == near_components(rows)
 
 
 def test_one_of_each_keeps_columns(spark, rows):
-    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as id", "1 as kept", "2 as digest")
+    """A single row of each component, repeated rows and groups without ids included."""
+    rows = [r for r in rows if "id that is taken" not in str(r[1])]
+    more = [*rows, *rows[:9], (None, rows[4][1] + " x", "en", "s1", 0), (None, "no id " * 9, "en", "s1", 1), (None, "no id " * 9, "de", "s1", 2)]
+    docs = spark.createDataFrame(more, SCHEMA).selectExpr("*", "'x' as id", "1 as kept", "2 as digest")
     out = near_dedup.one_of_each(docs)
     assert out.columns == docs.columns
-    expected = near_components(pairs(rows))
-    kept = Counter({k[0]: n for k, n in expected.items() if k[3]})
-    assert Counter(r[0] for r in out.collect()) == sum((Counter({k[0]: n}) for k, n in expected.items() if k[3]), Counter()) and kept
+    kept = out.collect()
+    full = Counter(r["doc_id"] for r in kept if shingles(r["text"]))
+    labels = Counter({k[2] for k in near_components(pairs(more)) if k[1]})
+    assert full == labels
+    assert sorted(map(str, (r[:5] for r in kept if not shingles(r["text"])))) == sorted(map(str, (r for r in more if not shingles(r[1]))))
 
 
 def test_trees_and_threshold():
-    assert near_dedup.trees_for(0.99) < near_dedup.trees_for(0.999999) <= 8
+    assert near_dedup.trees_for(0.99) < near_dedup.trees_for() <= 9
     assert near_dedup.least_agreeing() < near_dedup.COORDINATES * 0.75
 
 
@@ -81,8 +94,9 @@ def test_recall_of_trees_that_choose_from_the_same_tokens():
 def test_tokens_come_from_all_coordinates(spark):
     """Two classes that agree in all but the first 24 values stay together at most nodes."""
     n = near_dedup.COORDINATES
-    rows = [(node, digest, [x if k < 24 else k for k in range(n)]) for node in range(200) for x, digest in ((-1, "a"), (-2, "b"))]
-    out = near_dedup.Join.children(spark.createDataFrame(rows, "node long, digest string, tokens array<int>"))
+    sig = lambda x: np.array([x if k < 24 else k for k in range(n)], np.uint16).tobytes()
+    rows = [(node, 0, digest, sig(x)) for node in range(200) for x, digest in ((1001, "a"), (1002, "b"))]
+    out = near_dedup.Join.children(spark.createDataFrame(rows, "node long, at int, digest string, sig binary"))
     found = {k: {r["node"] for r in out.where(f"digest = '{k}'").collect()} for k in "ab"}
     assert len(found["a"]) == 400 and len(found["a"] & found["b"]) > 300
 
