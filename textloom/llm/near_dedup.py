@@ -62,7 +62,7 @@ from textloom.plans.lineage import checked_broadcast, checkpointed
 
 #: Production parameters: words of a shingle, percent of similarity, recall aimed at.
 WIDTH, PERCENT, RECALL = 5, 75, 0.999999
-#: Minwise values, 16 bits of each; children of a class at a node; levels before a node is compared in blocks.
+#: Minwise values; children of a class at a node; levels before a node is compared in blocks.
 COORDINATES, BRANCHES, LEVELS = 256, 2, 16
 #: Classes of a node that is compared exhaustively; of a node that one task holds; shingles of a group.
 SMALL, CAPACITY, SHINGLES = 2048, 32768, 1 << 20
@@ -117,38 +117,36 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def minwise(sets: np.ndarray) -> np.ndarray:
-    """Of the least value of the set under each of ``COORDINATES`` random permutations, 16 bits."""
+    """The least value of the set under each of ``COORDINATES`` random permutations."""
     low = (sets >> np.uint64(32)).astype(np.uint32)
     out = np.full(COORDINATES, 2**32 - 1, np.uint32)
     for i in range(0, len(low), 512):
         np.minimum(out, (low[i : i + 512] * _TIMES + _PLUS).min(axis=1), out=out)
-    return out.astype(np.uint16)
+    return out
 
 
 def digest_of(own: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """``(id, check, text)`` to ``(id, check, digest, n, sig)``: digest and sig are null for empty sets."""
+def signatures(rows: DataFrame, first: int) -> DataFrame:
+    """``(id, check, text)`` to ``(id, check, digest, n, tokens, sig)``: the ``first`` minwise values, for the
+    roots, and 16 bits of all; with the digest, these are null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, sigs = [], [], []
+            digests, sizes, tokens, sigs = [], [], [], []
             for text in batch.column(2):
                 own = shingles(text.as_py())
                 sizes.append(len(own))
                 digests.append(digest_of(own))
-                sigs.append(minwise(own).tobytes() if len(own) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "check", "digest", "n", "sig"])
+                least = minwise(own) if len(own) else None
+                tokens.append(None if least is None else least[:first].tobytes())
+                sigs.append(None if least is None else least.astype(np.uint16).tobytes())
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "check", "digest", "n", "tokens", "sig"])
 
-    return rows.mapInArrow(sign, "id long, check long, digest binary, n long, sig binary")
-
-
-def token(at: Column) -> Column:
-    """The minwise value at a coordinate."""
-    return F.substr(F.col("sig"), at * 2 + 1, F.lit(2))
+    return rows.mapInArrow(sign, "id long, check long, digest binary, n long, tokens binary, sig binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -292,16 +290,16 @@ class Join:
     def __init__(self, rows: DataFrame, recall: float, percent: int):
         self.rows, self.percent = rows, percent
         self.coordinates = trees_for(recall, percent) * BRANCHES
-        self.signed = checkpointed(signatures(rows))
+        self.signed = checkpointed(signatures(rows, self.coordinates))
         own = self.signed.where(F.col("digest").isNotNull()).groupBy("digest")
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "check")).alias("first")
-        self.classes = checkpointed(own.agg(first, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+        self.classes = checkpointed(own.agg(first, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig")))
         self.labels: DataFrame | None = None  # (digest, label) of linked classes
 
     def roots(self) -> DataFrame:
         """``(node, at, digest, size)`` of the nodes below the roots, those of one class left out. All trees
         choose different coordinates there, so that no chance is lost on the level that finds most pairs."""
-        nodes = F.array(*(F.xxhash64(F.lit(i), token(F.lit(i))) for i in range(self.coordinates)))
+        nodes = F.array(*(F.xxhash64(F.lit(i), F.substr("tokens", F.lit(4 * i + 1), F.lit(4))) for i in range(self.coordinates)))
         return checkpointed(self.sized(self.classes.select(F.posexplode(nodes).alias("at", "node"), "digest")))
 
     @staticmethod
@@ -362,7 +360,7 @@ class Join:
 
         def child(j: int) -> Column:
             at = F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int")
-            return F.xxhash64("node", F.lit(j), at, token(at))
+            return F.xxhash64("node", F.lit(j), at, F.substr("sig", 2 * at + 1, F.lit(2)))
 
         return nodes.select(F.explode(F.array(*map(child, range(BRANCHES)))).alias("node"), "at", "digest")
 
