@@ -41,16 +41,29 @@ def vectors(n, dims=8, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_best_matches(spark, monkeypatch, block):
-    monkeypatch.setattr(topk_search, "ROW_BLOCK", block)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk_search, "RESOLVED", 8)
+@pytest.mark.parametrize("block, part", [(512, 16), (1 << 22, 64), (1 << 22, 8192)])
+def test_best_matches(spark, monkeypatch, block, part):
+    for name, value in (("BLOCK", block), ("PART", part), ("CHUNK", 3), ("PILOT", 2)):
+        monkeypatch.setattr(topk_search, name, value)
     rows = vectors(300)
+    rows += [(77, [x + y for x, y in zip(rows[0][1], [k / 100] * 8)]) for k in range(9)]  # more vectors of an id than places
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(3)
     assert sorted(map(tuple, topk_search.best_matches(table).collect())) == expected(rows)
 
 
+@pytest.mark.parametrize("size", [1e5, 1e6, 1e13])
+def test_scores_are_exact_integers(spark, size):
+    """Beyond what a double or a float holds; beyond a long, the limit."""
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(64)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk_search.best_matches(table).collect()))
+    if size < 1e13:
+        assert got == expected(rows)
+    else:
+        assert {r[3] for r in got} == {2**63 - 1} and len(got) == 15
+
+
 def test_few_candidates_and_none(spark):
     few = [(0, [1.0, 2.0]), (1, [-1.0, 0.5]), (2, [3.0, 0.0])]
     table = spark.createDataFrame(few, "vec_id long, embedding array<float>")
@@ -61,25 +74,17 @@ def test_few_candidates_and_none(spark):
 
 
 def test_reading_stops_early():
-    """With a clear winner the lists are not read to their ends."""
+    """With a clear winner the lists are not read to their ends, nor where an earlier part has one."""
     rng = np.random.default_rng(1)
     rows = rng.integers(-100, 100, (2000, 16))
+    queries, ids = np.full((20, 16), 100), np.full(20, -1)
+    lists = topk_search.SortedLists(np.arange(2000), rows)
+    lists.search(ids, queries, 1, np.full(20, 16.0 * 400 * 100))
+    assert lists.read <= lists.all * 0.41
     rows[77] = 400
     lists = topk_search.SortedLists(np.arange(2000), rows)
-    seen = []
-    lists.order = _Watched(lists.order, seen)
-    ids, scores = lists.search(-1, np.full(16, 100), 1)
-    assert ids.tolist() == [77] and scores.tolist() == [16 * 400 * 100] and sum(seen) < rows.size / 2
-
-
-class _Watched:
-    def __init__(self, array, seen):
-        self.array, self.seen = array, seen
-
-    def __getitem__(self, key):
-        out = self.array[key]
-        self.seen.append(out.size)
-        return out
+    found = topk_search.best(*lists.search(ids, queries, 1), 1)
+    assert set(found[1].tolist()) == {77} and set(found[2].tolist()) == {16 * 400 * 100} and lists.read < lists.all / 2
 
 
 def test_classifier(spark):
