@@ -1,11 +1,14 @@
 """Cutting lineage through the folder that the cluster shares, and size-checked broadcasts.
 
-``spark.checkpoint.dir`` names the shared folder. Only where a session sets none (tests, a laptop)
-is a temporary folder of this machine used.
+``spark.checkpoint.dir`` names the shared folder. Only where a session on one machine sets none (tests, a
+laptop) is a temporary folder of it used; on a cluster that is an error. Written tables stay until the folder is
+emptied, since what is returned reads them; checkpoints go with their frames where
+``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster's machines share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -38,6 +43,14 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}/{name}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: for wide rows, which take
+    several times as much in a checkpoint."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About what a row takes: eight bytes a column, and the length of strings, binaries and arrays."""
     total = F.lit(8 * (len(df.columns) + 1)).cast("long")
