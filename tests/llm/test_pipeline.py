@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from textloom.llm import mixing, quality_rules
 
-from .helpers import SCHEMA, corpus, near_components, words
+from .helpers import SCHEMA, corpus, near_components, shingles, words
 from .test_rules import expected_targets
 
 
@@ -34,8 +34,11 @@ def test_stages(spark, tmp_path):
     assert all((i, len(words(t))) for i, t in texts[2].elements()) and sum(texts[2].values()) == sum(texts[1].values())
 
     pairs = [(i, t) for i, t in texts[2].elements()]
-    expected = sum((Counter({k[0]: n}) for k, n in near_components(pairs).items() if k[3]), Counter())
-    assert Counter(i for i, _ in texts[3].elements()) == expected and not texts[3] - texts[2]
+    found = near_components(pairs)
+    # One row of each component of texts with words; of the others all rows.
+    assert {i for i, t in texts[3] if words(t)} == {k[2] for k in found if k[1]} and not texts[3] - texts[2]
+    assert sum(n for (i, t), n in texts[3].items() if words(t)) == len(components(texts[2]))
+    assert Counter({k: n for k, n in texts[3].items() if not words(k[1])}) == Counter({k: n for k, n in texts[2].items() if not words(k[1])})
 
     taken = sum(r["taken"] for r in mixing.mixture(held[3]).collect())
     assert sum(len(words(t)) for _, t in texts[4].elements()) == taken
@@ -47,6 +50,16 @@ def test_stages(spark, tmp_path):
         assert r["ids"] == library.encode(r["text"], add_special_tokens=False).ids
 
 
+def components(texts):
+    """The components of texts with words, as sets of texts."""
+    own = [[t, shingles(t)] for t in {t for _, t in texts if words(t)}]
+    groups = []
+    for t, s in own:
+        near = [g for g in groups if any(100 * len(s & x) >= 75 * len(s | x) for _, x in g)]
+        groups = [g for g in groups if g not in near] + [sum(near, []) + [(t, s)]]
+    return groups
+
+
 def read(df):
     return Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
 

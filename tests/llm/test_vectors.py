@@ -106,6 +106,68 @@ def test_classifier(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_word_vectors_against_plain_sums(spark):
+    """A name's vector is the sum of the index vectors of its neighbours' names of the same kind, and of
+    the word's other name."""
+    texts = [r[1] for r in corpus(12)]
+    index, n = quality_classifier.index_vectors(), quality_classifier.BUCKETS
+    total = np.zeros((n, quality_classifier.DIMS))
+    for text in texts:
+        names = [divmod(quality_classifier.Names()[w], n) for w in (text or "").split()]
+        for i, both in enumerate(names):
+            for kind in (0, 1):
+                around = [both[1 - kind], *(names[k][kind] for k in (i - 1, i + 1) if 0 <= k < len(names))]
+                total[both[kind]] += index[around].sum(0)
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    got = quality_classifier.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).na.fill(""))
+    assert np.allclose(got, total / np.where(norm > 0, norm, 1), atol=1e-6)
+
+
+def test_shapes_are_whole_and_long_texts_are_pooled_in_parts(monkeypatch):
+    names = quality_classifier.Names()
+    ends = {names["aA1-" * 9 + x] % quality_classifier.BUCKETS for x in "+*/"}
+    assert len(ends) == 3
+    vectors = np.random.default_rng(3).normal(size=(quality_classifier.BUCKETS, quality_classifier.DIMS)).astype(np.float32)
+    text = " ".join(f"word{i % 700}" for i in range(5000))
+    whole = quality_classifier.pooled(text, vectors)
+    monkeypatch.setattr(quality_classifier, "AT_ONCE", 97)
+    assert np.allclose(whole, quality_classifier.pooled(text, vectors), atol=1e-5)
+    both = quality_classifier.named(text)
+    assert np.allclose(whole[: quality_classifier.DIMS], vectors[both // quality_classifier.BUCKETS].mean(0), atol=1e-5)
+
+
+def test_temperature_calibrates():
+    """Scores of a noisy label lie near its frequencies, and the temperature is no worse than none."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 10))
+    chance = 1 / (1 + np.exp(-1.5 * x[:, 0] + x[:, 1]))
+    y = (rng.random(4000) < chance).astype(float)
+    network = quality_classifier.Network(x[:2000], y[:2000])
+    score = network.score(x[2000:])
+    bins = np.digitize(score, np.linspace(0, 1, 6)[1:-1])
+    gaps = [abs(score[bins == b].mean() - y[2000:][bins == b].mean()) * (bins == b).mean() for b in np.unique(bins)]
+    assert sum(gaps) < 0.08
+    loss = lambda t: np.mean(np.logaddexp(0, z / t) - y[2000:] * z / t)
+    z = network._logits((x[2000:] - network.mean) / network.scale)
+    assert loss(network.temperature) <= loss(1.0) + 1e-6
+
+
+def test_held_out_labels_are_never_read(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = [(i, i % 3 == 0) for i in range(60)]
+    told = lambda flip: spark.createDataFrame([(i, int(y != (flip and zlib.crc32(str(i).encode()) % 4 == 2))) for i, y in labels], "doc_id long, quality int")
+    one, two = (sorted(map(str, quality_classifier.scored(docs, told(flip)).collect())) for flip in (False, True))
+    assert one == two
+
+
+def test_sample_is_bounded_and_by_least_hash(spark):
+    truth = spark.range(3000).selectExpr("id", "cast(id % 2 as double) as y")
+    drawn = {r["id"] for r in quality_classifier.least_hashed(truth, 500).collect()}
+    order = [r["id"] for r in truth.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).limit(500).collect()]
+    assert 400 < len(drawn) <= 500 and drawn == set(order[: len(drawn)])
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame(corpus(5), SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

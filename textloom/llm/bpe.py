@@ -15,7 +15,7 @@ Defined results
 At scale
 --------
 No shuffle. A block ends at 16 million characters, or after one longer text, and a worker forgets
-its pre-tokens beyond ``MOST_PRETOKENS``, so memory depends on the longest text only.
+its pre-tokens beyond ``MOST_PRETOKENS`` or ``MOST_CHARS``, so memory depends on the longest text only.
 """
 
 from __future__ import annotations
@@ -34,11 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.vocabulary import Numbers, blocks
+from textloom.llm.vocabulary import MOST_CHARS, MOST_PRETOKENS, Numbers, blocks
 
 #: Production parameters.
 VOCABULARY = "byte_bpe_50k.json"
-MOST_PRETOKENS = 700_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -176,7 +175,7 @@ class PairIndexBPE:
 
     def encode_block(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.places) > MOST_PRETOKENS:
+        if self.places.full(MOST_CHARS, MOST_PRETOKENS):
             self.forget()
         numbers = []
         for text in texts:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from textloom.llm import line_dedup, mixing, quality_rules, topk_search, url_filter
-from textloom.llm.quality_rules import BINS, CORE, CUTOFF, DIMS, FLOOR, HALF_FACTOR, LAST_BIN, MIN_GROUP, PAIRS, Q975, REWEIGHT_FACTOR, STEPS, SYMBOLS
+from textloom.llm.quality_rules import BINS, CORE, CUTOFF, DIMS, FALL, FLOOR, HALF_FACTOR, MIN_GROUP, PAIRS, Q975, REWEIGHT_FACTOR, STARTS, SYMBOLS
+
+#: Concentration steps that the SQL of op2 is written out for; further ones change nothing once all starts have converged.
+STEPS = 14
 
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')"
@@ -79,19 +82,21 @@ t as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words
   round(1000 * ln(1 + 100 * n_symbols::double / greatest(word_chars, 1)))::bigint as x1,
   round(1000 * ln(1 + 10 * n_repeat_words::double / greatest(n_words, 1)))::bigint as x2 from c),
 g0 as (select lang, source, count(*) as n from t where not base_failed group by all),
-g1 as (select *, case when n >= {MIN_GROUP} then coalesce('=' || lang, '') || chr(1) || coalesce('=' || source, '') else coalesce('=' || lang, '') || chr(2) end as g from g0),
-g2 as (select *, sum(n) over (partition by g) as m from g1),
-g3 as (select lang, source, n, case when m >= {MIN_GROUP} then g else chr(3) end as g from g2),
-g4 as (select *, sum(n) over (partition by g) as m from g3),
-groups as materialized (select lang, source, g from g4 where m >= {MIN_GROUP}),
-rows_ as materialized (select t.n, g, {xs} from t join groups k on t.lang is not distinct from k.lang and t.source is not distinct from k.source where not base_failed)"""]
-    middle = ", ".join(f"quantile_disc(x{i}, 0.5)::double as m{i}" for i in DIMS)
+g1 as (select *, sum(n) over (partition by lang) as in_lang, min(n) over (partition by lang) as least from g0),
+g2 as (select *, case when n >= {MIN_GROUP} then coalesce('=' || lang, '') || chr(1) || coalesce('=' || source, '')
+  when in_lang >= {MIN_GROUP} then coalesce('=' || lang, '') || chr(2) else chr(3) end as g from g1),
+groups as materialized (select lang, source, g from g2),
+rows_ as materialized (
+  select t.n, g, {xs} from t join groups k on t.lang is not distinct from k.lang and t.source is not distinct from k.source where not base_failed and right(g, 1) not in (chr(2), chr(3))
+  union all select n, g, {xs} from t join (select distinct lang, g from g2 where right(g, 1) = chr(2)) k on t.lang is not distinct from k.lang where not base_failed
+  union all select n, chr(3), {xs} from t where not base_failed and exists (select 1 from g2 where g = chr(3)))"""]
     width = ", ".join(f"{repr(1.0 / FLOOR[i] ** 2 if i == j else 0.0)}::double as a{i}{j}" for i, j in PAIRS)
-    parts.append(f"model0 as materialized (select g, {middle}, {width} from rows_ group by g)")
     d = [f"(x{i}::double - m{i})" for i in DIMS]
     d2 = " + ".join(f"{d[i]} * {d[j]} * a{i}{j} * {1.0 if i == j else 2.0}::double" for i, j in PAIRS)
 
-    def estimate(name: str, core: str, factor: float) -> list[str]:
+    ms, as_ = ", ".join(f"m{i}" for i in DIMS), ", ".join(f"a{i}{j}" for i, j in PAIRS)
+
+    def estimate(name: str, core: str, factor: float, keys: str = "g, start") -> list[str]:
         cov = {(i, j): f"c{min(i, j)}{max(i, j)}" for i in DIMS for j in DIMS}
 
         def minor(i: int, j: int) -> str:
@@ -102,26 +107,30 @@ rows_ as materialized (select t.n, g, {xs} from t join groups k on t.lang is not
         means = ", ".join(f"s{i} / n as m{i}" for i in DIMS)
         covs = ", ".join(f"(s{i}{j} / n - m{i} * m{j}) * {factor}::double" + (f" + {float(FLOOR[i] ** 2)}::double" if i == j else "") + f" as c{i}{j}" for i, j in PAIRS)
         return [
-            f"{name}_s as (select g, count(*)::double as n, {sums} from {core} group by g)",
+            f"{name}_s as (select {keys}, count(*)::double as n, {sums} from {core} group by {keys})",
             f"{name}_m as (select *, {means} from {name}_s)",
-            f"{name}_c as (select g, {', '.join(f'm{i}' for i in DIMS)}, {covs} from {name}_m)",
+            f"{name}_c as (select {keys}, {ms}, {covs} from {name}_m)",
             f"{name}_k as (select *, {', '.join(f'{minor(i, j)} as k{i}{j}' for i, j in PAIRS)} from {name}_c)",
             f"{name}_d as (select *, c00 * k00 + c01 * k01 + c02 * k02 as det from {name}_k)",
-            f"{name} as materialized (select g, {', '.join(f'm{i}' for i in DIMS)}, {', '.join(f'k{i}{j} / det as a{i}{j}' for i, j in PAIRS)} from {name}_d)",
+            f"{name} as materialized (select {keys}, {ms}, {', '.join(f'k{i}{j} / det as a{i}{j}' for i, j in PAIRS)}, det from {name}_d)",
         ]
 
+    begin = " union all ".join(f"select g, {k} as start, {', '.join(f'quantile_disc(x{i}, {q})::double as m{i}' for i in DIMS)}, {width} from rows_ group by g" for k, q in enumerate(STARTS))
+    parts += [*estimate("every", "rows_", 1.0, "g"), f"model0 as materialized ({begin} union all select g, {len(STARTS)} as start, {ms}, {as_} from every)"]
     for k in range(STEPS):
         parts += [
-            f"dist{k} as materialized (select rows_.g, {xs}, {d2} as d2 from rows_ join model{k} using (g))",
-            f"bin{k} as materialized (select *, least(floor(d2 * {BINS}), {LAST_BIN})::int as bin from dist{k})",
-            f"""edge{k} as (select g, min(bin) as edge from (select g, bin, sum(count(*)) over (partition by g order by bin) as upto, sum(count(*)) over (partition by g) as everyone
-  from bin{k} group by g, bin) where upto >= ceil({CORE}::double * everyone) group by g)""",
-            f"core{k} as materialized (select bin{k}.* from bin{k} join edge{k} using (g) where bin <= edge)",
-            *estimate(f"model{k + 1}", f"core{k}", HALF_FACTOR),
+            f"dist{k} as materialized (select g, start, {xs}, floor(sqrt(greatest({d2}, 0.0::double)) * {BINS})::bigint as bin from rows_ join model{k} using (g))",
+            f"""edge{k} as (select g, start, min(bin) as edge from (select g, start, bin, sum(count(*)) over (partition by g, start order by bin) as upto,
+  sum(count(*)) over (partition by g, start) as everyone from dist{k} group by g, start, bin) where upto >= ceil({CORE}::double * everyone) group by g, start)""",
+            f"core{k} as materialized (select dist{k}.* from dist{k} join edge{k} using (g, start) where bin <= edge)",
+            *estimate(f"step{k}", f"core{k}", HALF_FACTOR),
+            f"model{k + 1} as materialized (select n.* from step{k} n)" if not k else
+            f"model{k + 1} as materialized (select g, start, {', '.join(f'case when n.det < o.det * (1 - {FALL}::double) then n.{c} else o.{c} end as {c}' for c in f'{ms}, {as_}, det'.split(', '))} from model{k} o join step{k} n using (g, start))",
         ]
     parts += [
-        f"near as materialized (select * from (select rows_.g, {xs}, {d2} as d2 from rows_ join model{STEPS} using (g)) where d2 <= {Q975}::double)",
-        *estimate("final", "near", REWEIGHT_FACTOR),
+        f"best as materialized (select * from model{STEPS} qualify row_number() over (partition by g order by det, start) = 1)",
+        f"near as materialized (select * from (select rows_.g, {xs}, {d2} as d2 from rows_ join best using (g)) where d2 <= {Q975}::double)",
+        *estimate("final", "near", REWEIGHT_FACTOR, "g"),
         "own as (select lang, source, final.* from groups join final using (g))",
         f"""scored as (select t.*, {d2} as d2 from t left join own on t.lang is not distinct from own.lang and t.source is not distinct from own.source)""",
     ]

@@ -25,14 +25,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each run of ``width`` words; none if there are fewer words."""
+def window_hashes(hashes: np.ndarray, width: int, other: int = 0) -> np.ndarray:
+    """The hash of each run of ``width`` words; none if there are fewer words. ``other`` picks another
+    hash function."""
     n = len(hashes) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    total = hashes[:n] * MULTIPLIERS[0]
+    total = hashes[:n] * MULTIPLIERS[other]
     for k in range(1, width):
-        total += hashes[k : k + n] * MULTIPLIERS[k]
+        total += hashes[k : k + n] * MULTIPLIERS[other + k]
     return mixed(total)
 
 

@@ -14,18 +14,23 @@ Defined results
 * Labels that are null are no labels. Rows with the same id all get the labels of that id.
 * Without labels of both kinds to learn from, every score is the share of 1 among the labels,
   smoothed to (ones + 1) / (labels + 2).
-* A null id is not held out. An empty table gives an empty table; other columns are not read.
+* A null id is not held out. Repeated rows and ids are scored one by one. Texts of any length are taken whole,
+  pooled in parts. An empty table gives an empty table; other columns are not read.
+* Words whose names share a bucket share its vector: of n different words that is a share of about
+  1 - exp(-n / ``BUCKETS``), most of them rare ones; frequent words are the bulk of a bucket's sum.
 
 At scale
 --------
 One pass over the texts sums word vectors: a task sends a row for each bucket it met, at most
 ``BUCKETS``, whatever its input. A second one makes a vector of ``FEATURES`` floats for each document.
-The driver gets ``BUCKETS`` word vectors and the ``SAMPLE`` labelled documents whose id has the least
-hash: both bounds are parameters, and only the labelled sample is bounded by one.
+The driver gets ``BUCKETS`` word vectors and about the ``SAMPLE`` labelled documents whose id has the least
+hash: both bounds are parameters, and only the labelled sample is bounded by one. The sample's ids are drawn
+from the labels first, so that no other document's vector is shuffled or sent.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,9 +46,10 @@ from textloom.plans.lineage import checkpointed
 
 #: Production parameters: buckets of word names, dimensions, labelled documents to learn from, hidden
 #: units, passes over the sample, the score from which 1 is predicted.
-BUCKETS, DIMS, SAMPLE, HIDDEN, EPOCHS, FROM = 8192, 32, 20_000, 32, 60, 0.7
+BUCKETS, DIMS, SAMPLE, HIDDEN, EPOCHS, FROM = 32768, 32, 20_000, 32, 60, 0.7
 FEATURES = 3 * DIMS + 4
-MOST_WORDS = 700_000
+#: Words that a worker remembers, and the longest of them; words of a text that are pooled at once.
+MOST_WORDS, LONG, AT_ONCE = 700_000, 64, 1 << 18
 SEED = 5
 
 
@@ -66,9 +72,11 @@ class Names(dict):
             self.clear()
         letters = "".join(filter(str.isalnum, word)).lower()
         kinds = ("0" if c.isdigit() else c if not c.isalpha() else "A" if c.isupper() else "a" for c in word)
-        shape = self.runs.sub(r"\1", "".join(kinds))[:12]
+        shape = self.runs.sub(r"\1", "".join(kinds))
         bucket = lambda x: zlib.crc32(x.encode()) % BUCKETS
-        self[word] = n = bucket("w" + letters) * BUCKETS + bucket("s" + shape)
+        n = bucket("w" + letters) * BUCKETS + bucket("s" + shape)
+        if len(word) <= LONG:
+            self[word] = n
         return n
 
 
@@ -124,8 +132,12 @@ def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros(FEATURES, np.float32)
     n = len(both)
     if n:
-        letters, shapes = vectors[both // BUCKETS], vectors[both % BUCKETS]
-        out[:DIMS], out[DIMS : 2 * DIMS], out[2 * DIMS : 3 * DIMS] = letters.mean(0), letters.std(0), shapes.mean(0)
+        total = np.zeros((3, DIMS))
+        for i in range(0, n, AT_ONCE):
+            letters, shapes = (vectors[x] for x in (both[i : i + AT_ONCE] // BUCKETS, both[i : i + AT_ONCE] % BUCKETS))
+            total += letters.sum(0, np.float64), np.square(letters, dtype=np.float64).sum(0), shapes.sum(0, np.float64)
+        mean, square, shape = total / n
+        out[: 3 * DIMS] = np.concatenate((mean, np.sqrt(np.maximum(0, square - mean**2)), shape))
         threes = both[:-2] * 31 + both[1:-1] * 7 + both[2:]
         same = np.count_nonzero(both[1:] == both[:-1]) / n
         out[3 * DIMS :] = np.log1p(n), len(np.unique(both)) / n, same, len(np.unique(threes)) / max(1, n - 2)
@@ -137,7 +149,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.prior = float((y.sum() + 1) / (len(y) + 2))
-        self.trained = len(np.unique(y)) == 2 and len(y) >= 20
+        self.trained = len(np.unique(y)) == 2
         if not self.trained:
             return
         rng = np.random.Generator(np.random.PCG64(SEED))
@@ -199,12 +211,24 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(pool, f"id {kind}, x array<float>")
 
 
+def least_hashed(truth: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` of ``(id, y)``, those whose ids have the least hashes. A threshold on the hash, set
+    from the number of labels, keeps what tasks send near the sample's size."""
+    space = 1 << 31
+    place = F.pmod(F.xxhash64("id"), F.lit(space))
+    n = truth.count()
+    share = 1.0 if n <= sample else sample / n
+    near = truth.where(place < math.ceil(space * share))
+    return checkpointed(near.orderBy(place, "id", "y").limit(sample))
+
+
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """Each document's id, ``held_out``, ``score`` and ``predicted``; learns from the labels of ids
     that are not held out."""
     made = checkpointed(features(docs, id_col, text_col))
     truth = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    picked = made.join(truth, "id").orderBy(F.xxhash64("id"), "id", "y", "x").limit(sample).toPandas()
+    drawn = least_hashed(truth, sample)
+    picked = made.join(F.broadcast(drawn), "id").orderBy(F.xxhash64("id"), "id", "y", "x").limit(sample).toPandas()
     x = np.array(picked["x"].tolist(), np.float64).reshape(len(picked), FEATURES)
     network = Network(x, picked["y"].to_numpy(np.float64))
 

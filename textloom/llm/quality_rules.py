@@ -1,27 +1,31 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum covariance determinant.
 
-Every document's counts become a vector of three transformed statistics. For each language and source
-the centre and covariance of the half of its documents that lie closest together are estimated
-(concentration steps from the coordinate-wise median), reweighted once, and a document whose squared
-Mahalanobis distance passes the cutoff is rejected. DataFrame functions only.
+Every document's counts become a vector of three transformed statistics. For each language and source the
+half of its documents whose covariance has the least determinant is looked for: from each of several fixed
+starts, concentration steps take the half that is closest under the present estimate and estimate again,
+until no determinant falls any more; the start that ends lowest gives the estimate. It is reweighted once,
+and a document whose squared Mahalanobis distance passes the cutoff is rejected. DataFrame functions only.
 
 Defined results
 ---------------
 * Null text: no words, so the base rules fail. A text of fewer than ten words fails too.
 * Language or source null: a group like any other.
-* A group with fewer than ``MIN_GROUP`` documents that pass the base rules is estimated together with
-  the other such groups of its language, then with those of all languages; if they are fewer still,
-  only the base rules judge.
+* A group needs ``MIN_GROUP`` documents that pass the base rules for an estimate of its own. A smaller one is
+  judged by the estimate of its whole language, and if that has too few as well, by that of all documents.
+* The half is counted in 256ths of the Mahalanobis distance: documents of equal rounded distance are
+  in it or out of it together, so it may be larger by those at its edge.
 * Statistics are rounded to thousandths before anything is summed, so sums are exact integers and the
-  result does not depend on partitions; ties fall on the same side.
-* Repeated 5-word windows are told apart by 64-bit hashes within one text.
-* An empty table gives an empty table.
+  result does not depend on partitions. Repeated rows and ids are judged one by one.
+* Texts of any length are taken whole. Repeated 5-word windows are told apart by 64-bit hashes within one text.
+* An empty table gives an empty table. Other columns are not read; ``passing`` passes them on, whatever
+  their names.
 
 At scale
 --------
-One pass over the texts; what follows reads a table of nine narrow columns. Medians and the size of
-the half come from histograms with a bounded number of bins a group, moments from partial sums, so no
-group meets one task. The tables of groups are broadcast only below ``BROADCAST_BYTES``.
+One pass over the texts; what follows reads a table of narrow columns. A concentration step is one pass over
+it: counts and sums for each bin of distance, combined before the shuffle, and running sums over the bins,
+which the floor on every variance bounds. So no group meets one task. Estimates, a row for each group and
+start, are broadcast only where they were measured to stay below ``BROADCAST_BYTES``.
 """
 
 from __future__ import annotations
@@ -32,17 +36,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.text import WORD, words
-from textloom.plans.lineage import checked_broadcast, checkpointed
+from textloom.plans.lineage import BROADCAST_BYTES, checkpointed, stored
 
 #: Production parameters. Standard deviations (in thousandths) added to each statistic's own, so that
-#: a statistic which clean documents hold constant has a width; fewest documents of a group; share of
-#: the documents in the core; concentration steps; cutoff (chi-squared, 3 degrees, 0.9999).
-FLOOR, MIN_GROUP, CORE, STEPS, CUTOFF = (150, 300, 500), 50, 0.5, 3, 21.108
+#: a statistic which clean documents hold constant has a width; fewest documents of an estimate (ten for each
+#: statistic); share of the documents in the core; cutoff (chi-squared, 3 degrees, 0.9999).
+FLOOR, MIN_GROUP, CORE, CUTOFF = (150, 300, 500), 30, 0.5, 21.108
 #: Chi-squared constants for 3 degrees of freedom: 0.975 quantile, and factors that make the
 #: covariance of the closest half, and of the closest 0.975, consistent for normal data.
 Q975, HALF_FACTOR, REWEIGHT_FACTOR = 9.348, 2.457, 1.078
-#: Distances are counted in 32nds, up to a last bin that holds all beyond.
-BINS, LAST_BIN = 32, 4095
+#: Parts of a unit of distance; quantiles that are the centre of a start, with the floor as its covariance,
+#: besides the start from all documents' moments; share by which a determinant has to fall.
+BINS, STARTS, FALL = 256, (0.5, 0.25, 0.75), 1e-9
 SYMBOLS = "#*$%&|<>"
 DIMS = (0, 1, 2)
 PAIRS = tuple((i, j) for i in DIMS for j in DIMS if i <= j)
@@ -96,20 +101,21 @@ def quadratic(d: list[Column], a: dict[tuple[int, int], Column]) -> Column:
     return reduce(lambda x, y: x + y, terms)
 
 
-def estimates(core: DataFrame, factor: float) -> DataFrame:
-    """Centre and inverse covariance of each group's rows, from exact integer sums."""
-    sums = core.groupBy("g").agg(
-        F.count("*").cast("double").alias("n"),
-        *(F.sum(f"x{i}").cast("double").alias(f"s{i}") for i in DIMS),
-        *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"s{i}{j}") for i, j in PAIRS),
-    )
-    mean = sums.select("g", "n", *(F.col(f"s{i}{j}") for i, j in PAIRS), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in DIMS))
+def moments() -> list[Column]:
+    """Exact integer sums over rows of x0, x1, x2."""
+    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in DIMS), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS)]
+
+
+def estimates(sums: DataFrame, factor: float, *keys: str) -> DataFrame:
+    """From moments: centre, inverse covariance and the log of its determinant."""
+    n = F.col("n").cast("double")
+    mean = sums.select(*keys, n.alias("n"), *(F.col(f"s{i}{j}").cast("double").alias(f"s{i}{j}") for i, j in PAIRS), *((F.col(f"s{i}") / n).alias(f"m{i}") for i in DIMS))
 
     def cov(i: int, j: int) -> Column:
         spread = (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(factor)
         return spread + F.lit(float(FLOOR[i] ** 2)) if i == j else spread
 
-    with_cov = mean.select("g", *(f"m{i}" for i in DIMS), *(cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS))
+    with_cov = mean.select(*keys, *(f"m{i}" for i in DIMS), *(cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS))
     c = {(i, j): F.col(f"c{min(i, j)}{max(i, j)}") for i in DIMS for j in DIMS}
 
     def minor(i: int, j: int) -> Column:
@@ -117,49 +123,68 @@ def estimates(core: DataFrame, factor: float) -> DataFrame:
         return (c[r0, k0] * c[r1, k1] - c[r0, k1] * c[r1, k0]) * F.lit(-1.0 if (i + j) % 2 else 1.0)
 
     det = with_cov.select("*", *(minor(i, j).alias(f"k{i}{j}") for i, j in PAIRS)).withColumn("det", c[0, 0] * F.col("k00") + c[0, 1] * F.col("k01") + c[0, 2] * F.col("k02"))
-    return det.select("g", *(f"m{i}" for i in DIMS), *((F.col(f"k{i}{j}") / F.col("det")).alias(f"a{i}{j}") for i, j in PAIRS))
+    return det.select(*keys, *(f"m{i}" for i in DIMS), *((F.col(f"k{i}{j}") / F.col("det")).alias(f"a{i}{j}") for i, j in PAIRS), "det")
 
 
-def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` with d2, the squared Mahalanobis distance under their group's model."""
-    model = checked_broadcast(model)
+def distances(rows: DataFrame, model: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with d2, the squared Mahalanobis distance, under each model of their group."""
     d = [F.col(f"x{i}").cast("double") - F.col(f"m{i}") for i in DIMS]
     d2 = quadratic(d, {p: F.col(f"a{p[0]}{p[1]}") for p in PAIRS})
-    return rows.join(model, "g").select(*rows.columns, d2.alias("d2"))
+    kept = [c for c in model.columns if c in ("g", "start")]
+    return rows.join(F.broadcast(model) if small else model, "g").select(*kept, *(f"x{i}" for i in DIMS), d2.alias("d2"))
 
 
-def closest(rows: DataFrame, share: float) -> DataFrame:
-    """The rows in the bins of distance that hold the closest ``share`` of their group."""
-    binned = rows.withColumn("bin", F.least(F.floor(F.col("d2") * BINS), F.lit(LAST_BIN)).cast("int"))
-    bins = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("g")
-    running = bins.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
-    edge = running.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy("g").agg(F.min("bin").alias("edge"))
-    return binned.join(checked_broadcast(edge), "g").where(F.col("bin") <= F.col("edge")).select(*rows.columns)
+def concentrated(rows: DataFrame, model: DataFrame, small: bool) -> DataFrame:
+    """The estimates from the closest half under each group's and start's model."""
+    bin_ = F.floor(F.sqrt(F.greatest(F.col("d2"), F.lit(0.0))) * BINS)
+    bins = distances(rows, model, small).groupBy("g", "start", bin_.alias("bin")).agg(*moments())
+    sums = [c for c in bins.columns if c not in ("g", "start", "bin")]
+    part = Window.partitionBy("g", "start")
+    upto = bins.select("g", "start", "bin", F.sum("n").over(part).alias("every"), *(F.sum(c).over(part.orderBy("bin")).alias(c) for c in sums))
+    edge = upto.where(F.col("n") >= F.ceil(CORE * F.col("every"))).groupBy("g", "start").agg(F.min_by(F.struct(*sums), "bin").alias("core"))
+    return estimates(edge.select("g", "start", "core.*"), HALF_FACTOR, "g", "start")
 
 
-def medians(rows: DataFrame) -> DataFrame:
-    """The first model: lower medians, and the inverse of the floor as covariance."""
+def starts(rows: DataFrame) -> DataFrame:
+    """The first models of each group: (lower) quantiles with the floor as covariance, and all moments."""
     long = rows.select("g", F.posexplode(F.array(*(f"x{i}" for i in DIMS))).alias("dim", "x")).groupBy("g", "dim", "x").agg(F.count("*").alias("n"))
     part = Window.partitionBy("g", "dim")
     running = long.withColumn("upto", F.sum("n").over(part.orderBy("x"))).withColumn("all", F.sum("n").over(part))
-    middle = running.where(2 * F.col("upto") >= F.col("all")).groupBy("g", "dim").agg(F.min("x").cast("double").alias("m"))
-    centre = middle.groupBy("g").agg(*(F.max(F.when(F.col("dim") == i, F.col("m"))).alias(f"m{i}") for i in DIMS))
+    at = running.groupBy("g", "dim").agg(*(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("x"))).cast("double").alias(f"q{k}") for k, q in enumerate(STARTS)))
+    wide = at.groupBy("g").agg(F.array(*(F.struct(F.lit(k).alias("start"), *(F.max(F.when(F.col("dim") == i, F.col(f"q{k}"))).alias(f"m{i}") for i in DIMS)) for k in range(len(STARTS)))).alias("of"))
     width = [F.lit(1.0 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"a{i}{j}") for i, j in PAIRS]
-    return centre.select("g", *(f"m{i}" for i in DIMS), *width)
+    centres = wide.select("g", F.explode("of").alias("of")).select("g", "of.*", *width)
+    every = estimates(rows.groupBy("g").agg(*moments()), 1.0, "g").withColumn("start", F.lit(len(STARTS)))
+    return centres.union(every.select(*centres.columns))
+
+
+def least_determinant(rows: DataFrame, small: bool) -> DataFrame:
+    """Of each group the estimate with the least determinant that any start converges to."""
+    model = checkpointed(concentrated(rows, starts(rows), small).withColumn("falls", F.lit(True)))
+    columns = [c for c in model.columns if c not in ("g", "start", "falls")]
+    while not (left := model.where("falls")).isEmpty():
+        # Only models whose determinant fell in the last step take another.
+        new = concentrated(rows, left.drop("falls"), small).select("g", "start", F.struct(*columns).alias("new"))
+        falls = F.coalesce(F.col("new.det") < F.col("det") * (1 - FALL), F.lit(False))
+        both = model.join(new, ["g", "start"], "left")
+        model = checkpointed(both.select("g", "start", *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in columns), falls.alias("falls")))
+    best = F.min_by(F.struct(*columns), F.struct("det", "start")).alias("best")
+    return model.groupBy("g").agg(best).select("g", "best.*")
 
 
 def grouping(rows: DataFrame) -> DataFrame:
-    """Of each ``(k_lang, k_source)`` the group ``g`` it is estimated in: its own; the small ones of
-    its language; all that are small even so; null if those are too few."""
+    """Of each ``(k_lang, k_source)`` the group ``g`` that judges it, and those that its documents
+    are ``members`` of: its own if it is large enough, its language's and that of all where these judge any."""
     sizes = rows.groupBy(F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).agg(F.count("*").alias("n"))
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("")) for x in ("k_lang", "k_source"))
-    own = F.col("n") >= MIN_GROUP
-    first = sizes.withColumn("g", F.when(own, F.concat(lang, F.lit("\x01"), source)).otherwise(F.concat(lang, F.lit("\x02"))))
-    by_lang = first.withColumn("m", F.sum("n").over(Window.partitionBy("g")))
-    second = by_lang.withColumn("g", F.when(F.col("m") >= MIN_GROUP, F.col("g")).otherwise(F.lit("\x03")))
-    rest = second.withColumn("m", F.sum("n").over(Window.partitionBy("g")))
-    return rest.select("k_lang", "k_source", F.when(F.col("m") >= MIN_GROUP, F.col("g")).alias("g"))
+    named = sizes.select("*", F.concat(lang, F.lit("\x01"), source).alias("own"), F.concat(lang, F.lit("\x02")).alias("wide"), F.lit("\x03").alias("every"))
+    by_lang = named.groupBy("wide").agg(F.sum("n").alias("in_lang"), F.min("n").alias("least")).select("wide", F.col("in_lang") >= MIN_GROUP, F.col("least") < MIN_GROUP).toDF("wide", "lang_fits", "lang_used")
+    large, fits = F.col("n") >= MIN_GROUP, F.col("lang_fits")
+    g = F.when(large, F.col("own")).when(fits, F.col("wide")).otherwise(F.col("every"))
+    out = named.join(by_lang, "wide").withColumn("g", g)
+    any_rest = F.lit(not out.where(F.col("g") == F.col("every")).isEmpty())
+    feeds = F.array_compact(F.array(F.when(large, F.col("own")), F.when(fits & F.col("lang_used"), F.col("wide")), F.when(any_rest, F.col("every"))))
+    return out.select("k_lang", "k_source", "g", feeds.alias("members"))
 
 
 def same_group() -> Column:
@@ -176,13 +201,16 @@ def prepared(docs: DataFrame) -> DataFrame:
 def fitted(table: DataFrame) -> DataFrame:
     """The robust centre and inverse covariance that hold for each ``(k_lang, k_source)``."""
     passed = table.where(~F.col("base_failed")).select("lang", "source", *(f"x{i}" for i in DIMS))
-    groups = checked_broadcast(grouping(passed).where(F.col("g").isNotNull()))
-    rows = checkpointed(passed.join(groups, same_group()).select("g", *(f"x{i}" for i in DIMS)))
-    model = medians(rows)
-    for _ in range(STEPS):
-        model = estimates(closest(distances(rows, model), CORE), HALF_FACTOR)
-    model = estimates(distances(rows, model).where(F.col("d2") <= Q975), REWEIGHT_FACTOR)
-    return checked_broadcast(groups.join(model, "g").drop("g"))
+    groups = checkpointed(grouping(passed))
+    # Models take some 200 bytes for each group and start.
+    size = groups.agg(F.sum(F.octet_length("g") + 200).alias("n")).first()["n"] or 0
+    small = size * (len(STARTS) + 1) <= BROADCAST_BYTES
+    groups = F.broadcast(groups) if small else groups
+    rows = checkpointed(passed.join(groups, same_group()).select(F.explode("members").alias("g"), *(f"x{i}" for i in DIMS)))
+    near = distances(rows, least_determinant(rows, small), small).where(F.col("d2") <= Q975)
+    model = estimates(near.groupBy("g").agg(*moments()), REWEIGHT_FACTOR, "g").drop("det")
+    out = checkpointed(groups.drop("members").join(model, "g").drop("g"))
+    return F.broadcast(out) if small else out
 
 
 def scored(table: DataFrame, model: DataFrame) -> DataFrame:
@@ -209,9 +237,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that are kept, with the columns of the input. The texts are counted twice, once
-    for the model and once for the verdict, rather than shuffled."""
+    """The documents that are kept, with the columns of the input. The texts are counted once and stored
+    with their counts, so that the verdict needs no second pass over them and no shuffle."""
     own = own_columns(docs, id_col, text_col, lang_col, source_col)
-    model = fitted(checkpointed(prepared(docs.select(*own))))
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
-    return scored(prepared(docs.select(*own, whole)), model).where("kept").select("whole.*")
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("whole")
+    table = stored(prepared(docs.select(*own, whole)), "counted")
+    narrow = checkpointed(table.drop("whole"))
+    columns = [F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return scored(table, fitted(narrow)).where("kept").select(*columns)

@@ -14,15 +14,18 @@ Defined results
 * A window is removed if it starts in a row with a smaller id; rows that share an id, repeated ones
   included, do not remove from each other. A row with a null id is kept whole and removes nothing.
 * Windows are judged on the input. An empty table gives an empty table; other columns are not read.
-* Words and windows are told apart by 64-bit hashes.
+* Texts of any length are taken whole; one longer than ``WORDS_AT_ONCE`` words is settled alone.
+* Words are told apart by 64-bit hashes, windows that are removed by 96 bits of two hashes: of 1e13
+  different windows, two agree with a probability under one in a thousand.
 
 At scale
 --------
 Both rounds send packed blocks of hashes, about six bytes a word, to buckets by hash. Before that a
 task settles what its own rows show: a hash that two of its documents share is sent once however many
 share it, so a passage in a third of all rows meets its bucket once a task, not once a row. Texts are
-shuffled once, by id, and both rounds and the result read that exchange. ``buckets`` should give some
-million words a bucket; it follows ``spark.sql.shuffle.partitions``.
+shuffled once, by id, and both rounds and the result read that exchange. A bucket holds some million
+words: there is one for each ``BUCKET_BYTES`` of text, as measured, and no fewer than two for each of
+``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from textloom.llm.packing import mixed, pack, unpack, window_hashes, word_hashes
 
 #: Production parameters: words of a window, and of a block (2 * BLOCK - 1 <= WINDOW).
 WINDOW, BLOCK = 13, 7
-#: Words that a task settles at once.
-WORDS_AT_ONCE = 1_000_000
+#: Words that a task settles at once; bytes of text for a bucket.
+WORDS_AT_ONCE, BUCKET_BYTES = 1_000_000, 24 << 20
 #: Buckets for each home, which gathers what is found for a share of the documents: findings are a
 #: small part of what is sent, and each bucket writes to every home.
 BUCKETS_A_HOME = 8
@@ -88,8 +91,13 @@ def new_pair(ids: np.ndarray, checks: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], (ids[1:] != ids[:-1]) | (checks[1:] != checks[:-1])))
 
 
-def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1)) if len(sorted_keys) else np.zeros(0, np.int64)
+def group_starts(sorted_keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Where a key, or the second of a pair of keys, differs from the one before."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64)
+    new = sorted_keys[1:] != sorted_keys[:-1]
+    new = new if more is None else new | (more[1:] != more[:-1])
+    return np.concatenate(([0], np.flatnonzero(new) + 1))
 
 
 def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -97,7 +105,7 @@ def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(starts, n)))
 
 
-def settled_blocks(hashes, row, at, ids, checks, send: Sender) -> None:
+def settled_blocks(hashes, more, row, at, ids, checks, send: Sender) -> None:
     """Round one over some rows: which anchors are probed by two documents, here or elsewhere."""
     order = np.argsort(hashes, kind="stable")
     h, row, at = hashes[order], row[order], at[order]
@@ -144,21 +152,21 @@ def met_blocks(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     return ids[hit], checks[hit], at[hit]
 
 
-def settled_windows(hashes, row, at, ids, checks, send: Sender) -> None:
+def settled_windows(hashes, more, row, at, ids, checks, send: Sender) -> None:
     """Round two over some rows: a window is a repeat if a row here has it under a smaller id; those
     of the smallest id here are asked for elsewhere."""
-    order = np.argsort(hashes, kind="stable")
-    h, row, at = hashes[order], row[order], at[order]
-    starts = group_starts(h)
+    order = np.lexsort((more, hashes))
+    h, more, row, at = hashes[order], more[order], row[order], at[order]
+    starts = group_starts(h, more)
     doc = ids[row]
     repeat = doc > spread(np.minimum.reduceat(doc, starts), starts, len(h))
     send.found(doc[repeat], checks[row[repeat]], at[repeat])
-    h, row, at = h[~repeat], row[~repeat], at[~repeat]
+    h, more, row, at = h[~repeat], more[~repeat], row[~repeat], at[~repeat]
     bucket = send.place(h)
     for b, part in ((int(bucket[i]), slice(i, j)) for i, j in edges(bucket)):
         own, number = np.unique(row[part], return_inverse=True)
         steps = np.diff(h[part], prepend=np.uint64(0))
-        send.rows.append((b, None, pack(steps, number, at[part], ids[own].view(np.uint64), checks[own])))
+        send.rows.append((b, None, pack(steps, number, at[part], ids[own].view(np.uint64), checks[own], more[part])))
 
 
 def met_windows(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
@@ -167,33 +175,37 @@ def met_windows(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     ids = np.concatenate([b[3].view(np.int64)[b[1].astype(np.int64)] for b in blocks])
     checks = np.concatenate([b[4][b[1].astype(np.int64)] for b in blocks])
     at = np.concatenate([b[2] for b in blocks]).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    h, ids, checks, at = (x[order] for x in (h, ids, checks, at))
-    starts = group_starts(h)
+    more = np.concatenate([b[5] for b in blocks])
+    order = np.lexsort((more, h))
+    h, more, ids, checks, at = (x[order] for x in (h, more, ids, checks, at))
+    starts = group_starts(h, more)
     repeat = ids > spread(np.minimum.reduceat(ids, starts), starts, len(h))
     return ids[repeat], checks[repeat], at[repeat]
 
 
-def block_windows(words: np.ndarray, _: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling windows of a block's length, and where they start."""
+NO_WINDOWS = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def block_windows(words: np.ndarray, _: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rolling windows of a block's length, nothing more, and where they start."""
     if len(words) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return NO_WINDOWS
     h = window_hashes(words, BLOCK)
-    return h, np.arange(len(h))
+    return h, h[:0], np.arange(len(h))
 
 
 def places(hits: bytes | None) -> np.ndarray:
     return unpack(hits)[0].astype(np.int64) if hits else np.zeros(0, np.int64)
 
 
-def windows_at_hits(words: np.ndarray, hits: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The 13-word windows that hold an anchor that was hit."""
+def windows_at_hits(words: np.ndarray, hits: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 13-word windows that hold an anchor that was hit: hashes, 32 bits of others, and places."""
     anchors = places(hits)
     if not len(anchors):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return NO_WINDOWS
     starts = np.unique(anchors[:, None] - np.arange(WINDOW - BLOCK + 1))
     starts = starts[(starts >= 0) & (starts <= len(words) - WINDOW)]
-    return window_hashes(words, WINDOW)[starts], starts
+    return window_hashes(words, WINDOW)[starts], window_hashes(words, WINDOW, WINDOW)[starts] >> np.uint64(32), starts
 
 
 def texts_words(text: str | None) -> list[bytes]:
@@ -206,13 +218,14 @@ def round_of(rows: DataFrame, windows, settle, meet, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sender(buckets)
-        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             n = [len(x[0]) for x in held]
-            ids, checks = (np.array([x[k] for x in held], np.int64) for k in (2, 3))
-            settle(np.concatenate([x[0] for x in held]), np.repeat(np.arange(len(held)), n), np.concatenate([x[1] for x in held]), ids, checks, out)
+            h, more, at = (np.concatenate([x[k] for x in held]) for k in range(3))
+            ids, checks = (np.array([x[k] for x in held], np.int64) for k in (3, 4))
+            settle(h, more, np.repeat(np.arange(len(held)), n), at, ids, checks, out)
             return out.batch()
 
         for batch in batches:
@@ -221,9 +234,9 @@ def round_of(rows: DataFrame, windows, settle, meet, buckets: int) -> DataFrame:
                 hits = batch.column(3)[i].as_py() if with_hits else None
                 if with_hits and not hits:
                     continue
-                h, at = windows(word_hashes(texts_words(batch.column(2)[i].as_py())), hits)
+                h, more, at = windows(word_hashes(texts_words(batch.column(2)[i].as_py())), hits)
                 if len(h):
-                    held.append((h, at, doc, check))
+                    held.append((h, more, at, doc, check))
                     size += len(h)
                 if size >= WORDS_AT_ONCE:
                     yield flush()
@@ -257,8 +270,11 @@ def round_of(rows: DataFrame, windows, settle, meet, buckets: int) -> DataFrame:
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Each document's id, ``n_words``, ``n_removed`` and ``kept``, its kept words joined by a space."""
-    n = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    n = buckets
+    if n is None:
+        size = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
+        n = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     # The rows of one id are told apart by 32 bits of a hash of their texts.
     check = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), check.alias("check"), text.alias("text"))

@@ -10,14 +10,16 @@ Defined results
 ---------------
 * Null and empty texts have 0 bytes and 0 tokens.
 * Strings that look like special tokens are ordinary text, as is the library's default.
+* Texts of any length are counted whole, one at a time where they are longer than a block.
 * Repeated rows and ids are counted one by one; other columns are never read.
 
 At scale
 --------
 No shuffle: the table of distinct pre-tokens belongs to a Python worker, which joins it to the
-frequencies of one document at a time. It is emptied when ``MOST_PRETOKENS`` are in it, so memory does
-not depend on the input. (One table for the corpus would be counted by fewer calls, but would shuffle
-every document's distinct pre-tokens twice, which is more bytes than the texts.)
+frequencies of one document at a time. It is emptied when it holds ``MOST_PRETOKENS`` or ``MOST_CHARS``, so
+memory depends on the longest text only. The ids of a pre-token exist while it is counted, those of a
+document never do. (One table for the corpus would be counted by fewer calls, but would shuffle every
+document's distinct pre-tokens twice, which is more bytes than the texts.)
 """
 
 from __future__ import annotations
@@ -34,12 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from textloom.llm.vocabulary import Numbers, blocks
+from textloom.llm.vocabulary import MOST_CHARS, MOST_PRETOKENS, Numbers, blocks
 
 #: Production parameters.
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
-#: Pre-tokens that a worker remembers.
-MOST_PRETOKENS = 700_000
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -47,7 +47,7 @@ SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 class PieceCounter:
     """Counts the pieces of texts under a sentencepiece model."""
 
-    def __init__(self, path: str, most: int = MOST_PRETOKENS):
+    def __init__(self, path: str, most: int = MOST_PRETOKENS, chars: int = MOST_CHARS):
         spec = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
@@ -55,7 +55,7 @@ class PieceCounter:
         if self.separable:
             spec.normalizer_spec.add_dummy_prefix = False  # each pre-token brings its own
         self.model = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.most = most
+        self.most, self.chars = most, chars
         self.forget()
 
     @staticmethod
@@ -78,7 +78,7 @@ class PieceCounter:
         """The number of pieces of each text."""
         if not self.separable:
             return [len(self.model.encode(x)) for x in texts]
-        if len(self.numbers) > self.most:
+        if self.numbers.full(self.chars, self.most):
             self.forget()
         frequencies = []
         for text in texts:

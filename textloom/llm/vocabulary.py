@@ -8,14 +8,23 @@ from collections.abc import Iterator
 BLOCK_CHARS = 16_000_000
 
 
+#: Characters and number of pre-tokens that a worker remembers; it forgets all when it has more.
+MOST_CHARS, MOST_PRETOKENS = 64_000_000, 700_000
+
+
 class Numbers(dict):
     """Pre-token to its number; a new one gets the next number and waits."""
 
     def __init__(self):
         self.waiting: list[str] = []
+        self.chars = 0
+
+    def full(self, chars: int, most: int) -> bool:
+        return self.chars > chars or len(self) > most
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.chars += len(word)
         self.waiting.append(word)
         return n
 
