@@ -47,7 +47,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: for wide rows, which take
     several times as much in a checkpoint."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: what a writer buffers
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
