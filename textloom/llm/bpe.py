@@ -14,7 +14,7 @@ Defined results
 
 At scale
 --------
-No shuffle. A block ends at 16 million characters, or after one longer text, and a worker forgets
+No shuffle. A block ends at 4 million characters, or after one longer text, and a worker forgets
 its pre-tokens beyond ``MOST_PRETOKENS`` or ``MOST_CHARS``, so memory depends on the longest text only.
 """
 

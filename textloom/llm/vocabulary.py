@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 #: Characters of a block of texts; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 
 
 #: Characters and number of pre-tokens that a worker remembers; it forgets all when it has more.
-MOST_CHARS, MOST_PRETOKENS = 64_000_000, 700_000
+MOST_CHARS, MOST_PRETOKENS = 32_000_000, 400_000
 
 
 class Numbers(dict):
