@@ -14,8 +14,8 @@ Defined results
 
 At scale
 --------
-No shuffle. A block ends at 4 million characters, or after one longer text, and a worker forgets
-its pre-tokens beyond ``MOST_PRETOKENS`` or ``MOST_CHARS``, so memory depends on the longest text only.
+No shuffle. A block ends at 4 million characters, or after one longer text, and a task forgets
+its pre-tokens beyond ``MOST_PRETOKENS`` or ``MOST_CHARS`` and at its end, so memory depends on the longest text only.
 """
 
 from __future__ import annotations
@@ -225,12 +225,16 @@ def encoded_with(docs: DataFrame, text_col: str, vocabulary: str, added: dict[st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(vocabulary)
-        for batch in batches:
-            start = 0
-            for block in blocks(batch.column(1).to_pylist()):
-                columns = make(model, model.encode_block(block))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), *columns], ["row", *added])
-                start += len(block)
+        try:
+            for batch in batches:
+                start = 0
+                for block in blocks(x.as_py() for x in batch.column(1)):
+                    columns = make(model, model.encode_block(block))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(block)), *columns], ["row", *added])
+                    start += len(block)
+        finally:
+            model.forget()
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(encode, schema).select("row.*", *added)
 

@@ -191,8 +191,8 @@ class Node:
             own = some[i : i + step]
             fits = (label[None, :] != self.label[own, None]) & (100 * np.minimum(n[None, :], self.n[own, None]) >= self.percent * np.maximum(n[None, :], self.n[own, None]))
             x, y = np.nonzero(fits)
-            for k in range(0, len(x), 65536):
-                a, b = own[x[k : k + 65536]], y[k : k + 65536]
+            for k in range(0, len(x), 16384):
+                a, b = own[x[k : k + 16384]], y[k : k + 16384]
                 stays = (self.early[a] == early[b]).sum(axis=1, dtype=np.int16) >= self.first
                 a, b = a[stays], every[b[stays]]
                 agree = self.sig[a] == self.sig[b]
@@ -425,7 +425,7 @@ class Join:
                 for text, of in zip(batch.column(0), batch.column(1)):
                     own = shingles(text.as_py())
                     made[digest_of(own)] = (of.as_py(), own.tobytes())
-                    if sum(len(x[1]) for x in made.values()) > 1 << 24:
+                    if sum(len(of) * len(s) for of, s in made.values()) > 1 << 23:
                         yield sets_of(made)
                         made = {}
                 yield sets_of(made)

@@ -15,7 +15,7 @@ Defined results
 
 At scale
 --------
-No shuffle: the table of distinct pre-tokens belongs to a Python worker, which joins it to the
+No shuffle: the table of distinct pre-tokens belongs to a task, which joins it to the
 frequencies of one document at a time. It is emptied when it holds ``MOST_PRETOKENS`` or ``MOST_CHARS``, so
 memory depends on the longest text only. The ids of a pre-token exist while it is counted, those of a
 document never do. (One table for the corpus would be counted by fewer calls, but would shuffle every
@@ -108,10 +108,13 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         if path not in _COUNTERS:
             _COUNTERS[path] = PieceCounter(path)
         pieces = _COUNTERS[path]
-        for batch in batches:
-            n = [x for block in blocks(batch.column(1).to_pylist()) for x in pieces(block)]
-            size = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+        try:
+            for batch in batches:
+                n = [x for block in blocks(x.as_py() for x in batch.column(1)) for x in pieces(block)]
+                size = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+        finally:
+            pieces.forget()
 
     out = rows.mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

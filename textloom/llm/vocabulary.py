@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 #: Characters of a block of texts; a longer text is a block of its own.
 BLOCK_CHARS = 4_000_000
 
 
-#: Characters and number of pre-tokens that a worker remembers; it forgets all when it has more.
-MOST_CHARS, MOST_PRETOKENS = 32_000_000, 400_000
+#: Characters and number of pre-tokens that a task remembers; it forgets all when it has more, and at its end.
+MOST_CHARS, MOST_PRETOKENS = 16_000_000, 200_000
 
 
 class Numbers(dict):
@@ -29,7 +29,7 @@ class Numbers(dict):
         return n
 
 
-def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
+def blocks(texts: Iterable[str], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
     """Consecutive texts, up to ``most`` characters or one text at a time."""
     held, size = [], 0
     for text in texts:
