@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.text import WORD, words
-from textloom.plans.lineage import BROADCAST_BYTES, checkpointed, stored
+from textloom.plans.lineage import BROADCAST_BYTES, checkpointed
 
 #: Production parameters. Standard deviations (in thousandths) added to each statistic's own, so that
 #: a statistic which clean documents hold constant has a width; fewest documents of an estimate (ten for each
@@ -160,14 +160,18 @@ def starts(rows: DataFrame) -> DataFrame:
 
 def least_determinant(rows: DataFrame, small: bool) -> DataFrame:
     """Of each group the estimate with the least determinant that any start converges to."""
-    model = checkpointed(concentrated(rows, starts(rows), small).withColumn("falls", F.lit(True)))
+
+    def kept(model: DataFrame) -> DataFrame:
+        return checkpointed(model.coalesce(1) if small else model)
+
+    model = kept(concentrated(rows, starts(rows), small).withColumn("falls", F.lit(True)))
     columns = [c for c in model.columns if c not in ("g", "start", "falls")]
     while not (left := model.where("falls")).isEmpty():
         # Only models whose determinant fell in the last step take another.
         new = concentrated(rows, left.drop("falls"), small).select("g", "start", F.struct(*columns).alias("new"))
         falls = F.coalesce(F.col("new.det") < F.col("det") * (1 - FALL), F.lit(False))
-        both = model.join(new, ["g", "start"], "left")
-        model = checkpointed(both.select("g", "start", *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in columns), falls.alias("falls")))
+        both = model.join(F.broadcast(new) if small else new, ["g", "start"], "left")
+        model = kept(both.select("g", "start", *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in columns), falls.alias("falls")))
     best = F.min_by(F.struct(*columns), F.struct("det", "start")).alias("best")
     return model.groupBy("g").agg(best).select("g", "best.*")
 
@@ -237,11 +241,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that are kept, with the columns of the input. The texts are counted once and stored
-    with their counts, so that the verdict needs no second pass over them and no shuffle."""
+    """The documents that are kept, with the columns of the input. The texts are counted once and kept with
+    their counts in a checkpoint, so that the verdict needs no second pass over them and no shuffle."""
     own = own_columns(docs, id_col, text_col, lang_col, source_col)
     whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("whole")
-    table = stored(prepared(docs.select(*own, whole)), "counted")
-    narrow = checkpointed(table.drop("whole"))
+    table = checkpointed(prepared(docs.select(*own, whole)))
     columns = [F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return scored(table, fitted(narrow)).where("kept").select(*columns)
+    return scored(table, fitted(table)).where("kept").select(*columns)
