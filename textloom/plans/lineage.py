@@ -43,14 +43,6 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: for wide rows, which take
-    several times as much in a checkpoint."""
-    path = stage_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: what a writer buffers
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_bytes(df: DataFrame) -> Column:
     """About what a row takes: eight bytes a column, and the length of strings, binaries and arrays."""
     total = F.lit(8 * (len(df.columns) + 1)).cast("long")
