@@ -2,12 +2,13 @@
 published algorithms or from the behaviour that the docstrings state."""
 
 import json
+import unicodedata
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, timeops, url
+from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, timeops, unicode, url
 
 
 def one(spark, column, **values):
@@ -205,3 +206,27 @@ def test_conversion_lists_and_paths(spark):
     assert rows(spark, misc.to_list, ["a", "", None]) == [["a"], [], []]
     assert one(spark, misc.relative_path(F.lit("a/B/c"), F.lit("A/b/d/e"))) == "../../c"
     assert one(spark, misc.relative_path(F.lit("a"), F.lit("a"))) == "."
+
+
+def test_unicode(spark):
+    apart = "Zürich ﬁn é"
+    df = spark.createDataFrame([(apart,), ("plain",), ("",), (None,)], "t string")
+    for form in unicode.FORMS:
+        assert [r[0] for r in df.select(unicode.normalized(F.col("t"), form)).collect()] == [unicodedata.normalize(form, apart), "plain", "", None]
+    assert [r[0] for r in df.select(unicode.without_marks(F.col("t"))).collect()] == ["Zurich ﬁn e", "plain", "", None]
+    with pytest.raises(ValueError):
+        unicode.normalized(F.col("t"), "NFX")
+    assert df.select(unicode.collated(F.lit("STRASSE")) == unicode.collated(F.lit("strasse"))).first()[0]
+    said = spark.createDataFrame([("One, two. Three!",), ("",), (None,)], "t string")
+    assert [r[0] for r in said.select(unicode.sentences(F.col("t"), "en", "US")).collect()] == [[["One", "two"], ["Three"]], [], None]
+    assert [r[0] for r in said.select(unicode.words(F.col("t"))).collect()] == [["One", "two", "Three"], [], None]
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    path = tmp_path / "rules.dat"
+    path.write_text("// a comment\n\ncom\njp  // more\n*.kawasaki.jp\n!city.kawasaki.jp\ncom\n")
+    rules = url.read_rules(spark, str(path))
+    assert sorted(map(tuple, rules.collect())) == [("city.kawasaki.jp", 1), ("com", 0), ("jp", 0), ("kawasaki.jp", 2)]
+    hosts = spark.createDataFrame([("a.b.com",), ("x.city.kawasaki.jp",), ("x.y.z.kawasaki.jp",), (None,)], "h string")
+    found = {r["h"]: r["domain"] for r in url.join_domains(hosts, "h", rules).collect()}
+    assert found == {"a.b.com": "b.com", "x.city.kawasaki.jp": "city.kawasaki.jp", "x.y.z.kawasaki.jp": "y.z.kawasaki.jp", None: None}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,7 +183,16 @@ def join_domains(df: DataFrame, host_col: str, rules: DataFrame) -> DataFrame:
     found = fit.groupBy("h").agg(F.max_by(n, F.struct(F.when(F.col("type") == 1, 1).otherwise(0), n)).alias("registry"))
     made = hosts.join(found, "h", "left").withColumn("registry", F.coalesce("registry", F.lit(1)))
     own = made.select("h", F.when(~is_ip(F.col("h")) & (F.size("labels") > F.col("registry")), _suffix(F.col("labels"), F.col("registry") + 1)).alias("domain"))
-    return df.join(own, df[host_col] == own["h"], "left").drop("h")
+    return df.join(own, df[host_col] == own["h"], "left").drop(own["h"])
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """URL-18: rules for ``join_domains`` from files in the format of the public suffix list: one a
+    line, up to the first blank; ``//`` begins a comment, ``!`` an exception, ``*.`` a wildcard."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))
+    kind = F.when(F.col("rule").startswith("!"), 1).when(F.col("rule").startswith("*."), 2).otherwise(0)
+    rules = spark.read.text(path).select(rule.alias("rule")).where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
+    return rules.select(F.regexp_replace("rule", r"^(!|\*\.)", "").alias("name"), kind.alias("type")).distinct()
 
 
 def same_domain(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, timeops, url
+from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, timeops, unicode, url
 from textloom.operators import graph, matching
 from textloom.sources.lines import split_lines
 
@@ -40,14 +40,15 @@ def _words(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w, i) for i, w in enumerate(sorted(WORDS))], "word string, idx int")
 
 
-def _first_word(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("key"))
-
-
-def _all_words(docs: DataFrame) -> DataFrame:
+def _all_words(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every word of every text, a run of letters of any script, with its place among them."""
     found = F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}]*"), 0)
-    return docs.select("doc_id", F.posexplode(F.transform(found, F.lower)).alias("at", "key"))
+    return df.select(id_col, F.posexplode(F.transform(found, F.lower)).alias("at", "key"))
+
+
+def _all_words_sql(name: str, id_col: str) -> str:
+    found = r"list_transform(regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*'), lambda x: lower(x))"
+    return f"""select {id_col}, (generate_subscripts(w, 1) - 1)::int as "at", unnest(w) as key from (select {id_col}, {found} as w from {name})"""
 
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1))"
@@ -241,67 +242,81 @@ def small_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", hashing.times131(F.col("url")).alias("times131"), hashing.jenkins(F.col("url")).alias("jenkins"))
 
 
-_KEYS = "select doc_id, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) as key from documents"
 _DICT = f"(values {_WORD_ROWS}) as d(word, idx)"
 
 
-@query(f"with k as ({_KEYS}) select doc_id, key, d.idx::int as idx, strlen(d.word)::int as length from k join {_DICT} on k.key = d.word")
+def _exact_sql(name: str, id_col: str) -> str:
+    return f"""select {id_col}, "at", key, d.idx::int as idx, strlen(d.word)::int as length from ({_all_words_sql(name, id_col)}) as k join {_DICT} on k.key = d.word"""
+
+
+def _distinct_sql(name: str, id_col: str) -> str:
+    return f"k as (select distinct key from ({_all_words_sql(name, id_col)})), s as (select key, unnest(range(1, length(key) + 1)) as i from k)"
+
+
+def _prefix_sql(name: str, id_col: str) -> str:
+    return f"with {_distinct_sql(name, id_col)} select key, d.word, d.idx::int as idx, strlen(d.word)::int as length from k join {_DICT} on starts_with(k.key, d.word)"
+
+
+def _substring_sql(name: str, id_col: str) -> str:
+    return f"with {_distinct_sql(name, id_col)} select key, d.word, strlen(left(key, i - 1))::int as position from s join {_DICT} on starts_with(substr(key, i), d.word)"
+
+
+def _first_substring_sql(name: str, id_col: str) -> str:
+    return f"""with {_distinct_sql(name, id_col)},
+    m as (select key, d.word, i, row_number() over (partition by key order by i, strlen(d.word) desc) as n from s join {_DICT} on starts_with(substr(key, i), d.word))
+    select key, word, strlen(left(key, i - 1))::int as position from m where n = 1"""
+
+
+@query(_exact_sql("benchmark", "item_id"))
 def dict_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-1, DIC-2, DIC-12."""
-    found = matching.exact_match(_first_word(table(spark, sf_dir, "documents")), "key", F.broadcast(_words(spark)))
-    return found.select("doc_id", "key", "idx", F.octet_length("word").alias("length"))
+    """DIC-1, DIC-2, DIC-12 over every word of the texts of `benchmark`."""
+    found = matching.exact_match(_all_words(table(spark, sf_dir, "benchmark"), "item_id"), "key", F.broadcast(_words(spark)))
+    return found.select("item_id", "at", "key", "idx", F.octet_length("word").alias("length"))
 
 
-@query(f"with k as (select distinct key from ({_KEYS}) where key <> '') select key, d.word, d.idx::int as idx, strlen(d.word)::int as length from k join {_DICT} on starts_with(k.key, d.word)")
+@query(_prefix_sql("benchmark", "item_id"))
 def dict_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-3, DIC-6, DIC-9."""
-    found = matching.prefix_matches(_first_word(table(spark, sf_dir, "documents")), "key", _words(spark))
+    """DIC-3, DIC-6, DIC-9 over the distinct words of `benchmark`."""
+    found = matching.prefix_matches(_all_words(table(spark, sf_dir, "benchmark"), "item_id"), "key", _words(spark))
     return found.select("key", "word", "idx", "length")
 
 
-@query(
-    f"""with k as (select distinct key from ({_KEYS}) where key <> ''), s as (select key, unnest(range(1, length(key) + 1)) as i from k)
-    select key, d.word, (i - 1)::int as position from s join {_DICT} on starts_with(substr(key, i), d.word)"""
-)
+@query(_substring_sql("benchmark", "item_id"))
 def dict_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-8."""
-    return matching.substring_matches(_first_word(table(spark, sf_dir, "documents")), "key", _words(spark)).select("key", "word", "position")
+    """DIC-8 over the distinct words of `benchmark`."""
+    return matching.substring_matches(_all_words(table(spark, sf_dir, "benchmark"), "item_id"), "key", _words(spark)).select("key", "word", "position")
 
 
-@query(
-    f"""with k as (select distinct key from ({_KEYS}) where key <> ''), s as (select key, unnest(range(1, length(key) + 1)) as i from k),
-    m as (select key, d.word, i, row_number() over (partition by key order by i, strlen(d.word) desc) as n from s join {_DICT} on starts_with(substr(key, i), d.word))
-    select key, word, (i - 1)::int as position from m where n = 1"""
-)
+@query(_first_substring_sql("benchmark", "item_id"))
 def dict_first_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-7."""
-    return matching.first_substring_match(_first_word(table(spark, sf_dir, "documents")), "key", _words(spark))
+    """DIC-7 over the distinct words of `benchmark`."""
+    return matching.first_substring_match(_all_words(table(spark, sf_dir, "benchmark"), "item_id"), "key", _words(spark))
 
 
-@query()
+@query(_exact_sql("documents", "doc_id"))
 def dict_exact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-1, DIC-2, DIC-12 over every word of the texts: held against brute force in tests."""
-    found = matching.exact_match(_all_words(table(spark, sf_dir, "documents")), "key", F.broadcast(_words(spark)))
+    """DIC-1, DIC-2, DIC-12 over every word of the texts of `documents`."""
+    found = matching.exact_match(_all_words(table(spark, sf_dir, "documents"), "doc_id"), "key", F.broadcast(_words(spark)))
     return found.select("doc_id", "at", "key", "idx", F.octet_length("word").alias("length"))
 
 
-@query()
+@query(_prefix_sql("documents", "doc_id"))
 def dict_prefix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-3, DIC-6, DIC-9 over the distinct words of the texts: held against brute force in tests."""
-    found = matching.prefix_matches(_all_words(table(spark, sf_dir, "documents")), "key", _words(spark))
+    """DIC-3, DIC-6, DIC-9 over the distinct words of `documents`."""
+    found = matching.prefix_matches(_all_words(table(spark, sf_dir, "documents"), "doc_id"), "key", _words(spark))
     return found.select("key", "word", "idx", "length")
 
 
-@query()
+@query(_substring_sql("documents", "doc_id"))
 def dict_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-8 over the distinct words of the texts: held against brute force in tests."""
-    return matching.substring_matches(_all_words(table(spark, sf_dir, "documents")), "key", _words(spark)).select("key", "word", "position")
+    """DIC-8 over the distinct words of `documents`."""
+    return matching.substring_matches(_all_words(table(spark, sf_dir, "documents"), "doc_id"), "key", _words(spark)).select("key", "word", "position")
 
 
-@query()
+@query(_first_substring_sql("documents", "doc_id"))
 def dict_first_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIC-7 over the distinct words of the texts: held against brute force in tests."""
-    return matching.first_substring_match(_all_words(table(spark, sf_dir, "documents")), "key", _words(spark))
+    """DIC-7 over the distinct words of `documents`."""
+    return matching.first_substring_match(_all_words(table(spark, sf_dir, "documents"), "doc_id"), "key", _words(spark))
 
 
 _PART_WORDS = "select unnest(string_split(p_name, ' ')) as word from part"
@@ -503,6 +518,22 @@ def md5_of_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", codec.md5_of_parts(F.split("p_name", " ")).alias("digest"))
 
 
+@query("select doc_id, nfc_normalize(text) as nfc, strip_accents(nfc_normalize(text)) as plain, length(nfc_normalize(text)) = length(text) as same_length from documents")
+def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ICU-1: texts taken apart and composed again, and without their marks."""
+    apart = unicode.normalized(F.col("text"), "NFD")
+    nfc = unicode.normalized(apart, "NFC")
+    return table(spark, sf_dir, "documents").select("doc_id", nfc.alias("nfc"), unicode.without_marks(F.col("text")).alias("plain"), (F.length(nfc) == F.length("text")).alias("same_length"))
+
+
+@query("select distinct lower(source) as source, lower(lang) as lang from documents")
+def unicode_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ICU-1: sources and languages in either case, grouped under a collation that ignores case."""
+    docs = table(spark, sf_dir, "documents").select("source", "lang")
+    both = docs.union(docs.select(F.upper("source"), F.upper("lang"))).select(*(unicode.collated(F.col(c), "UNICODE_CI").alias(c) for c in ("source", "lang")))
+    return both.groupBy("source", "lang").agg(F.lit(1).alias("n")).select(*(F.lower(F.col(c).cast("string")).alias(c) for c in ("source", "lang")))
+
+
 @query(
     """select event_id, (event_id * 1234567)::double / 1000000 as seconds, (event_id * 1234567)::double / 1000 as milliseconds,
     event_id + 0.25::double as back from events"""
