@@ -14,7 +14,7 @@ Defined results
 
 At scale
 --------
-No shuffle. A block ends at 4 million characters, or after one longer text, and a task forgets
+No shuffle. A block ends at 2 million characters, or after one longer text, and a task forgets
 its pre-tokens beyond ``MOST_PRETOKENS`` or ``MOST_CHARS`` and at its end, so memory depends on the longest text only.
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 #: Characters of a block of texts; a longer text is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 #: Characters and number of pre-tokens that a task remembers; it forgets all when it has more, and at its end.
