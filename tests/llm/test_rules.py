@@ -217,6 +217,23 @@ def test_url_filter(spark, monkeypatch, limit):
     assert got == sorted(((i % 9, *u[1:]) for i, u in enumerate(URLS)), key=key)
 
 
+@pytest.mark.parametrize("limit", [url_filter.MOST_BYTES, 1 << 20])
+def test_block_list_from_a_table(spark, monkeypatch, limit):
+    """A million hosts and odd rows, in the digest array and joined."""
+    monkeypatch.setattr(url_filter, "MOST_BYTES", limit)
+    hosts = spark.range(1_000_000).select(F.concat(F.lit("h"), "id", F.lit(".Example.org")).alias("host"), F.lit(1).alias("url"))
+    odd = spark.createDataFrame([(None, 0), ("", 0), ("a.org/fr/", 0), ("h5.example.org", 0), ("com", 0)], "host string, url int")
+    urls = [f"http://www.H{i * 4999}.example.org/fr/1" for i in range(300)]
+    urls += ["http://a.org/fr/1", "http://example.org/", "http:///x", "http://b.com/fr/", "http://example.com/en/71", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged(pages, blocked=hosts.unionByName(odd)).collect()}
+    want = {i: (None, "block" if i * 4999 < 1_000_000 else "allow") for i in range(300)}
+    last = [(None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), ("example.com/en/7", "allow"), (None, "allow")]
+    assert got == want | {300 + i: x for i, x in enumerate(last)}
+    none = url_filter.judged(pages, blocked=hosts.limit(0)).filter("verdict = 'block'")
+    assert none.collect() == []
+
+
 def test_digests_that_collide():
     keys = [f"key{i}" for i in range(50)]
     same = lambda x: len(x)

@@ -12,14 +12,17 @@ Defined results
 ---------------
 * A null URL, or one without ``://``, has an empty host and path; it fits no rule and is allowed.
 * Hosts are lower-cased for A-Z only, and keep a port or user name that stands in them.
+* A block list is a sequence of hosts or a table with a column ``host`` (``host_list``: there nulls, empty
+  names and names with a slash, ``?`` or ``#`` stand for no host and are left out, repeated ones count once).
 * Repeated rules: the last one's verdict holds. An empty rule list or table works as expected.
 * Repeated rows are judged alike; other columns are never read.
 
 At scale
 --------
 No shuffle. The index travels as one broadcast whose size is checked (``MOST_BYTES``); each Python
-worker writes it to an unlinked temporary file of its own and maps it. A longer list is applied by
-``joined``, which explodes each URL's candidate keys and joins the list as a table.
+worker writes it to an unlinked temporary file of its own and maps it. A table is measured first, and comes to
+the driver only below that bound. A longer list is applied by ``joined``, which explodes each URL's candidate
+keys and joins the list as a table.
 """
 
 from __future__ import annotations
@@ -103,11 +106,21 @@ def _mapped(packed: bytes) -> DigestArray:
     return _MAPS[name]
 
 
+def lowered(host: Column) -> Column:
+    upper = "".join(map(chr, range(65, 91)))
+    return F.translate(host, upper, upper.lower())
+
+
+def host_list(blocked: DataFrame, host_col: str = "host") -> DataFrame:
+    """The different hosts of a table, A-Z lower-cased, as a column ``rule``."""
+    rules = blocked.select(lowered(F.col(f"`{host_col}`")).alias("rule"))
+    return rules.filter((F.col("rule") != "") & ~F.col("rule").rlike("[/?#]")).distinct()
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """A URL's host, lower-cased for A-Z, and its path; both empty if there is no ``://``."""
     host, path = (F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit("")) for k in (1, 2))
-    upper = "".join(map(chr, range(65, 91)))
-    return F.translate(host, upper, upper.lower()), path
+    return lowered(host), path
 
 
 def suffixes(host: str) -> Iterator[str]:
@@ -147,10 +160,18 @@ class UrlJudge:
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocked=BLOCKED) -> DataFrame:
-    """Each page's id, host, path, the rule that fits (or null) and the verdict."""
+    """Each page's id, host, path, the rule that fits (or null) and the verdict. ``blocked`` is a sequence of
+    hosts, or a table that has them as ``host``."""
     bad = [r for r, v in rules if "/" not in r or v not in ("allow", "block")]
     if bad:
         raise ValueError(f"a rule is a host, a path from its first slash on, and allow or block: {bad}")
+    if isinstance(blocked, DataFrame):
+        hosts = host_list(blocked)
+        size = hosts.agg(F.sum(F.octet_length("rule") + F.lit(17))).first()[0] or 0
+        if size > MOST_BYTES:
+            own = pages.sparkSession.createDataFrame(list(dict(rules).items()), "rule string, verdict string")
+            return joined(pages, hosts.withColumn("verdict", F.lit("host")).unionByName(own), id_col, url_col)
+        blocked = hosts.toArrow()["rule"].to_pylist()
     packed = DigestArray.packed([*((h, 2) for h in blocked), *((r, int(v == "block")) for r, v in rules)])
     if len(packed) > MOST_BYTES:
         spark = pages.sparkSession
