@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_count, topk_search, url_filter
+from textloom.llm import bpe, line_dedup, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, substring_dedup, token_count, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.with_runs(periodic_runs.planted(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    sha = {"runs_sha256": periodic_runs.run_lines(F.col("runs")), "collapsed_sha256": F.col("collapsed")}
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *(F.sha2(c.cast("binary"), 256).alias(x) for x, c in sha.items()))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_mixing,
         op6_line_dedup, op7_url_filter, op8_near_dedup, op9_bpe, op10_substring_dedup,
+        op13_periodic_runs,
     )
 }
