@@ -149,6 +149,7 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.size("w")
     sized = split.select(id_col, "text", "g", "w", n.alias("n"), F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
     period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p")
-    placed = sized.select(id_col, "text", "w", "a", period)
-    own = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get(F.col("w"), F.col("a") + (i - F.col("a")) % F.col("p"))))
+    placed = sized.select(id_col, "text", "w", "n", "a", period)
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    own = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n"))
     return placed.select(id_col, F.when(F.col("a").isNotNull(), F.array_join(own, " ")).otherwise(F.col("text")).alias("text"))
