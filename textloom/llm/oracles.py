@@ -162,6 +162,30 @@ select doc_id, len(w)::bigint as n_words, coalesce(len(gone_at), 0)::bigint as n
   sha256(array_to_string(case when gone_at is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(gone_at, z[2])), lambda z: z[1]) end, ' ')) as kept_sha256
 from w left join cut using (n)"""
 
+#: A reflected 32-bit checksum of the decimal digits of ``conv_id``, bit by bit.
+_CRC_STEP = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384::ubigint) else x // 2 end)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint)), lambda c, b: {_CRC_STEP}), 4294967295::ubigint)"
+
+TRIE = f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as place
+  from conversations where conv_id is not null),
+c as (select conv_id, count(*) as own, ({_CRC} % 9)::bigint as h, conv_id - conv_id % 5 as base from t group by conv_id),
+r as (select conv_id, 0 as side, place, t.role, t.text from c join (select conv_id as base, place, role, text from t) t using (base) where place <= h
+  union all select conv_id, 1 as side, place, role, text from t join c using (conv_id) where place > h),
+s as materialized (select conv_id, coalesce(list(struct_pack(role := role, text := text) order by side, place) filter (where role is not null), []) as s
+  from c left join r using (conv_id) group by conv_id),
+m as materialized (select conv_id, d as depth, md5(to_json(s[1:d])::varchar) as k, md5(to_json(s[1:d - 1])::varchar) as up, coalesce(strlen(s[d].text), 0) as size, d = len(s) as ends
+  from (select conv_id, s, unnest(range(len(s) + 1)) as d from s)),
+n as materialized (select depth, k, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256 from m group by depth, k),
+kids as (select depth - 1 as depth, up as k, count(*) as n_children from n where depth > 0 group by all),
+f as materialized (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (depth, k)),
+below as (select v.depth, v.k, count(*) filter (where u.n_children = 0) as n_leaves, sum(case when u.depth = 0 then 0 else (u.n_convs - 1) * u.size end)::bigint as saved_tokens
+  from f u join m v on v.conv_id = u.conv_id and v.depth <= u.depth group by all)
+select f.conv_id, f.depth::bigint as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+from f join below using (depth, k) left join n p on p.depth = f.depth - 1 and p.k = f.up"""
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": TOPK,
     "op2_quality_rules": _quality(),
@@ -170,4 +194,5 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": _rules(),
     "op8_near_dedup": NEAR,
     "op10_substring_dedup": SUBSTRING,
+    "op11_prefix_trie": TRIE,
 }

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, substring_dedup, token_count, topk_search, url_filter
+from textloom.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, periodic_runs, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_count, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,6 @@ QUERIES = {
     for f in (
         op1_topk_search, op2_quality_rules, op3_quality_classifier, op4_token_counts, op5_mixing,
         op6_line_dedup, op7_url_filter, op8_near_dedup, op9_bpe, op10_substring_dedup,
-        op12_fingerprints, op13_periodic_runs,
+        op11_prefix_trie, op12_fingerprints, op13_periodic_runs,
     )
 }
