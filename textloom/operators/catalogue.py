@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, timeops, unicode, url
-from textloom.operators import graph, matching
+from textloom.operators import graph, matching, patterns
+from textloom.plans.lineage import stage_path
+from textloom.sources import store
 from textloom.sources.lines import split_lines
 
 QUERIES: dict = {}
@@ -634,3 +636,62 @@ def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.when(key < 9, key + 1).when(key == 9, 0).otherwise(key + 1)
     edges = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), key).alias("src"), F.concat(F.lit("n"), after).alias("dst"))
     return graph.cyclic(edges)
+
+
+#: Each two long words in a row of a benchmark text begin five patterns, made of them and the two words after them.
+_PATTERNS = r"""select item_id * 1000000 + pos * 10 + k as pattern_id, case k when 0 then a || '\s+' || b || '\s+' || c when 1 then '(' || a || '|' || b || ') (' || c || '|' || d || ')'
+    when 2 then '(?i)' || upper(a) || '[\s,.]+' || b when 3 then a || '[^\n]{1,20}' || d else b || '[a-z]*[ ,]+(' || c || ')?' || d end as pattern from"""
+
+
+@query(
+    rf"""with w as (select item_id, regexp_extract_all(text, '[A-Za-z]{{3,}}') as w from benchmark),
+    i as (select item_id, w, unnest(range(1, len(w) - 2)) as pos from w), x as (select item_id, pos, w[pos] as a, w[pos + 1] as b, w[pos + 2] as c, w[pos + 3] as d, unnest(range(5)) as k from i where len(w[pos]) >= 7 and len(w[pos + 1]) >= 6),
+    p as ({_PATTERNS} x)
+    select distinct doc_id, pattern_id from documents join p on regexp_matches(text, pattern)"""
+)
+def pattern_set_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RE-1, pattern sets: patterns made of the words of `benchmark` over whole texts of `documents`."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0).alias("w")).where(F.size("w") >= 4)
+    at = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 3)).alias("at"))
+    four = at.select("item_id", "at", *(F.get("w", F.col("at") - 1 + i).alias(x) for i, x in enumerate("abcd")), F.explode(F.array(*map(F.lit, range(5)))).alias("k"))
+    four = four.where((F.length("a") >= 7) & (F.length("b") >= 6))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    made = (F.concat(a, F.lit(r"\s+"), b, F.lit(r"\s+"), c), F.concat(F.lit("("), a, F.lit("|"), b, F.lit(") ("), c, F.lit("|"), d, F.lit(")")),
+            F.concat(F.lit("(?i)"), F.upper(a), F.lit(r"[\s,.]+"), b), F.concat(a, F.lit(r"[^\n]{1,20}"), d), F.concat(b, F.lit("[a-z]*[ ,]+("), c, F.lit(")?"), d))
+    pattern = F.coalesce(*(F.when(F.col("k") == i, x) for i, x in enumerate(made)))
+    rules = four.select((F.col("item_id") * 1000000 + F.col("at") * 10 + F.col("k")).alias("pattern_id"), pattern.alias("pattern"))
+    return patterns.matches(table(spark, sf_dir, "documents"), rules, "doc_id")
+
+
+@query(
+    rf"""with k as (select distinct key from ({_all_words_sql("documents", "doc_id")})), w as (select distinct key as word from ({_all_words_sql("benchmark", "item_id")}) where len(key) >= 4)
+    select key, word, (strlen(key[1:i - 1]))::int as "position" from (select key, word, unnest(range(1, len(key) - len(word) + 2)) as i from k join w on contains(key, word)) where key[i:i + len(word) - 1] = word"""
+)
+def dict_substring_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIC-8 with a dictionary from data: the words of `benchmark` of four letters or more in the distinct words of `documents`."""
+    words = _all_words(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("key").alias("word")).where(F.length("word") >= 4).distinct()
+    return matching.substring_matches(_all_words(table(spark, sf_dir, "documents"), "doc_id"), "key", words).select("key", "word", "position")
+
+
+_EVENT_OPS = """select lpad(user_id::varchar, 8, '0') || '/' || hour(ts) as "key", event_type || '=' || value::varchar as "value", event_type = 'error' as deleted, event_id % 3 as batch, event_id from events"""
+
+
+@query(
+    f"""with o as ({_EVENT_OPS}), s as (select unnest([0, 2]) as s),
+    last_ as (select s, "key", max_by(struct_pack(v := "value", d := deleted), (batch, event_id)) as x from o join s on batch <= s group by all)
+    select s::int as "snapshot", "key", x.v as "value" from last_ where not x.d and "key" >= '00000040' and "key" < '00000120'"""
+)
+def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CON-2: puts and deletes from `events` in three batches, with a compaction before the last; a range of keys as
+    of the first batch and as of the last."""
+    events = table(spark, sf_dir, "events")
+    key = F.concat(F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit("/"), F.hour(F.col("ts").cast("timestamp")).cast("string"))
+    value = F.concat("event_type", F.lit("="), F.col("value").cast("string"))
+    ops = events.select(key.alias("key"), value.alias("value"), (F.col("event_type") == "error").alias("deleted"), "event_id")
+    path, after = stage_path(spark, "store"), []
+    for batch in range(3):
+        if batch == 2:
+            store.compact(spark, path, live=after[:1])
+        after.append(store.write_batch(spark, path, ops.where(F.col("event_id") % 3 == batch), [F.asc("event_id")]))
+    scans = [store.scan(spark, path, "00000040", "00000120", after[k]).select(F.lit(k).alias("snapshot"), "key", "value") for k in (0, 2)]
+    return scans[0].union(scans[1])

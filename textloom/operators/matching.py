@@ -1,29 +1,24 @@
 """Dictionary matching as joins, and the counted word set.
 
-Prefixes or substrings of the keys are exploded, bounded by the longest word of the dictionary, and
-joined on equality: no nested loop. Keys are made distinct first, so a key in many rows is exploded
-once. The dictionary is broadcast only below ``BROADCAST_BYTES``; a larger one is shuffled.
+Keys are cut into blocks, or into prefixes of the lengths that the dictionary has, and joined on equality: no nested
+loop. Keys are made distinct first, so a key in many rows is cut once. The dictionary is broadcast only
+below ``BROADCAST_BYTES``; a larger one is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import grams
 from textloom.plans.lineage import checked_broadcast
+from textloom.plans.ranks import numbered
 
 
 def indexed(words: DataFrame) -> DataFrame:
-    """DIC-1, DIC-5, ORD-3 (T): ``(idx, word)`` of the distinct words in byte order. Numbers come from
-    the places of sorted partitions, so no single task has all words."""
-    placed = words.select("word").distinct().sort("word").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "word")
-    before = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
-    earlier = before.alias("b").join(before.alias("e"), F.col("e.part") < F.col("b.part"), "left").groupBy("b.part").agg(F.first("b.low").alias("low"), F.coalesce(F.sum("e.n"), F.lit(0)).alias("upto"))
-    return placed.join(F.broadcast(earlier), "part").select((F.col("at") - F.col("low") + F.col("upto")).cast("int").alias("idx"), "word")
-
-
-def longest(words: DataFrame) -> int:
-    return words.agg(F.max(F.length("word")).alias("n")).first()["n"] or 0
+    """DIC-1, DIC-5, ORD-3 (T): ``(idx, word)`` of the distinct words in byte order; no single task has all words."""
+    placed = numbered(words.select("word").distinct(), [F.asc_nulls_first("word")], name="idx")
+    return placed.select((F.col("idx") - 1).cast("int").alias("idx"), "word")
 
 
 def exact_match(keys: DataFrame, key_col: str, words: DataFrame) -> DataFrame:
@@ -36,27 +31,22 @@ def is_word(keys: DataFrame, key_col: str, words: DataFrame) -> DataFrame:
     return keys.join(words.select(F.col("word").alias(key_col)).distinct(), key_col, "left_semi")
 
 
-def _prefixes(key: Column, most: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.least(F.length(key), F.lit(most))), lambda n: F.left(key, n))
-
-
 def prefix_matches(keys: DataFrame, key_col: str, words: DataFrame) -> DataFrame:
     """DIC-3, DIC-6, DIC-9 (T/H): each distinct key with every word that it starts with, the word's
-    ``length`` in bytes and the dictionary's other columns."""
-    most = longest(words)
+    ``length`` in bytes and the dictionary's other columns. Only prefixes of the dictionary's own lengths are made."""
+    words = checked_broadcast(words)
+    lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect() if r["n"])
     distinct = keys.select(F.col(key_col)).where(F.length(key_col) > 0).distinct()
-    exploded = distinct.select(key_col, F.explode(_prefixes(F.col(key_col), max(1, most))).alias("word"))
-    return exploded.join(checked_broadcast(words), "word").withColumn("length", F.octet_length("word"))
+    made = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(key_col)), lambda n: F.left(F.col(key_col), n))
+    return distinct.select(key_col, F.explode(made).alias("word")).join(words, "word").withColumn("length", F.octet_length("word"))
 
 
 def substring_matches(keys: DataFrame, key_col: str, words: DataFrame) -> DataFrame:
-    """DIC-8 (H): each distinct key with every word in it, at each ``position`` (bytes, from 0)."""
-    most = longest(words)
+    """DIC-8 (H): each distinct key with every word in it, at each ``position`` (bytes, from 0). Keys are cut
+    into blocks that suit the words' lengths (``grams``), so a large dictionary makes no more rows."""
     distinct = keys.select(F.col(key_col)).where(F.length(key_col) > 0).distinct()
-    starts = distinct.select(key_col, F.explode(F.sequence(F.lit(1), F.length(key_col))).alias("at"))
-    rest = starts.select(key_col, "at", F.substring(F.col(key_col), F.col("at"), F.lit(max(1, most))).alias("rest"))
-    exploded = rest.select(key_col, F.octet_length(F.left(F.col(key_col), F.col("at") - 1)).alias("position"), F.explode(_prefixes(F.col("rest"), max(1, most))).alias("word"))
-    return exploded.join(checked_broadcast(words), "word")
+    found = grams.occurrences(distinct, key_col, words, "word")
+    return found.withColumn("position", F.octet_length(F.left(F.col(key_col), F.col("at")))).drop("at")
 
 
 def first_substring_match(keys: DataFrame, key_col: str, words: DataFrame) -> DataFrame:
