@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from textloom.llm import line_dedup, mixing, quality_rules, topk_search, url_filter
-from textloom.llm.quality_rules import BINS, CORE, CUTOFF, DIMS, FALL, FLOOR, HALF_FACTOR, MIN_GROUP, PAIRS, Q975, REWEIGHT_FACTOR, STARTS, SYMBOLS
+from textloom.llm.quality_rules import BINS, CAPITALS, CORE, CUTOFF, DIMS, FALL, FLOOR, HALF_FACTOR, MIN_GROUP, PAIRS, Q975, REWEIGHT_FACTOR, SIGNS, STARTS, SYMBOLS
+from textloom.llm.quality_rules import WORDS as SPREAD_WORDS
 
 #: Concentration steps that the SQL of op2 is written out for; further ones change nothing once all starts have converged.
 STEPS = 14
@@ -74,23 +75,27 @@ v as (select n, i, [x, lead(x, 1) over o, lead(x, 2) over o, lead(x, 3) over o,
 twice as (select n, i from (select n, i, count(*) over (partition by n, five) as c from v where fifth is not null) where c > 1),
 again as (select n, sum(reach) as n_repeat_words from (select n, least(5, coalesce(lead(i) over (partition by n order by i) - i, 5)) as reach from twice) group by n),
 c as (select w.n, doc_id, lang, source, len(w)::bigint as n_words, length(regexp_replace(text, '{SPACE}', '', 'g'))::bigint as word_chars,
-  (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols,
+  {", ".join(f"(length(text) - length(translate(text, '{x}', '')))::bigint as {n}" for n, x in (("n_symbols", SYMBOLS), ("n_signs", SIGNS), ("n_capitals", CAPITALS)))},
   (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))))::bigint as n_dup_lines,
   coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join again on w.n = again.n),
-t as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-  round(1000 * ln(greatest(word_chars, 1)::double / greatest(n_words, 1)))::bigint as x0,
-  round(1000 * ln(1 + 100 * n_symbols::double / greatest(word_chars, 1)))::bigint as x1,
-  round(1000 * ln(1 + 10 * n_repeat_words::double / greatest(n_words, 1)))::bigint as x2 from c),
+f as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  round(1000 * ln(greatest(word_chars, 1)::double / greatest(n_words, 1)))::bigint as f0,
+  round(1000 * ln(1 + 100 * n_signs::double / greatest(word_chars, 1)))::bigint as f1,
+  round(1000 * ln(1 + 100 * n_capitals::double / greatest(word_chars, 1)))::bigint as f2 from c),
+middle as (select lang, {", ".join(f"quantile_disc(f{i}, 0.5) as c{i}" for i in DIMS)} from f where not base_failed group by lang),
+t as materialized (select f.*, {", ".join(f"round((f{i} - c{i}) * sqrt(n_words::double * {SPREAD_WORDS} / (n_words::double + {SPREAD_WORDS})) / 10)::bigint as x{i}" for i in DIMS)}
+  from f left join middle on f.lang is not distinct from middle.lang),
 g0 as (select lang, source, count(*) as n from t where not base_failed group by all),
 g1 as (select *, sum(n) over (partition by lang) as in_lang, min(n) over (partition by lang) as least from g0),
 g2 as (select *, case when n >= {MIN_GROUP} then coalesce('=' || lang, '') || chr(1) || coalesce('=' || source, '')
   when in_lang >= {MIN_GROUP} then coalesce('=' || lang, '') || chr(2) else chr(3) end as g from g1),
 groups as materialized (select lang, source, g from g2),
-rows_ as materialized (
-  select t.n, g, {xs} from t join groups k on t.lang is not distinct from k.lang and t.source is not distinct from k.source where not base_failed and right(g, 1) not in (chr(2), chr(3))
-  union all select n, g, {xs} from t join (select distinct lang, g from g2 where right(g, 1) = chr(2)) k on t.lang is not distinct from k.lang where not base_failed
-  union all select n, chr(3), {xs} from t where not base_failed and exists (select 1 from g2 where g = chr(3)))"""]
-    width = ", ".join(f"{repr(1.0 / FLOOR[i] ** 2 if i == j else 0.0)}::double as a{i}{j}" for i, j in PAIRS)
+rows_ as materialized (select distinct g, {xs} from (
+  select g, {xs} from t join groups k on t.lang is not distinct from k.lang and t.source is not distinct from k.source where not base_failed and right(g, 1) not in (chr(2), chr(3))
+  union all select g, {xs} from t join (select distinct lang, g from g2 where right(g, 1) = chr(2)) k on t.lang is not distinct from k.lang where not base_failed
+  union all select chr(3), {xs} from t where not base_failed and exists (select 1 from g2 where g = chr(3))))"""]
+    r = [f"greatest(quantile_disc(x{i}, 0.75)::double - quantile_disc(x{i}, 0.25)::double, 1.0::double)" for i in DIMS]
+    width = ", ".join((f"1.0::double / ({r[i]} * {r[i]})" if i == j else "0.0::double") + f" as a{i}{j}" for i, j in PAIRS)
     d = [f"(x{i}::double - m{i})" for i in DIMS]
     d2 = " + ".join(f"{d[i]} * {d[j]} * a{i}{j} * {1.0 if i == j else 2.0}::double" for i, j in PAIRS)
 
@@ -105,7 +110,7 @@ rows_ as materialized (
 
         sums = ", ".join([*(f"sum(x{i})::double as s{i}" for i in DIMS), *(f"sum(x{i} * x{j})::double as s{i}{j}" for i, j in PAIRS)])
         means = ", ".join(f"s{i} / n as m{i}" for i in DIMS)
-        covs = ", ".join(f"(s{i}{j} / n - m{i} * m{j}) * {factor}::double" + (f" + {float(FLOOR[i] ** 2)}::double" if i == j else "") + f" as c{i}{j}" for i, j in PAIRS)
+        covs = ", ".join(f"(s{i}{j} / n - m{i} * m{j}) * {factor}::double" + (f" + {float(FLOOR)}::double" if i == j else "") + f" as c{i}{j}" for i, j in PAIRS)
         return [
             f"{name}_s as (select {keys}, count(*)::double as n, {sums} from {core} group by {keys})",
             f"{name}_m as (select *, {means} from {name}_s)",

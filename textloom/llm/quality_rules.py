@@ -1,7 +1,10 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum covariance determinant.
 
-Every document's counts become a vector of three transformed statistics. For each language and source the
-half of its documents whose covariance has the least determinant is looked for: from each of several fixed
+Every document's counts become a vector of three transformed statistics: how far its log word length, log rate of
+punctuation and symbols, and log rate of capitals lie from their medians in its language, times the square root of its
+words, since chance alone spreads the rates of a text of n words by 1/sqrt(n). (Beyond ``WORDS`` words the factor stops growing:
+there texts differ by more than chance.) Punctuation and capitals rise together, so that a text may be an outlier by their
+relation with each of them in its usual range. For each language and source the half of its documents whose covariance has the least determinant is looked for: from each of several fixed
 starts, concentration steps take the half that is closest under the present estimate and estimate again,
 until no determinant falls any more; the start that ends lowest gives the estimate. It is reweighted once,
 and a document whose squared Mahalanobis distance passes the cutoff is rejected. DataFrame functions only.
@@ -12,9 +15,12 @@ Defined results
 * Language or source null: a group like any other.
 * A group needs ``MIN_GROUP`` documents that pass the base rules for an estimate of its own. A smaller one is
   judged by the estimate of its whole language, and if that has too few as well, by that of all documents.
+* Documents of a group with the same vector count once in its estimate, or a large group of copies would be the core.
+* A group whose vectors do not spread in some direction is a singular one: its covariance there is ``FLOOR``, the unit of rounding,
+  so that only what differs by more than some units is rejected.
 * The half is counted in 256ths of the Mahalanobis distance: documents of equal rounded distance are
   in it or out of it together, so it may be larger by those at its edge.
-* Statistics are rounded to thousandths before anything is summed, so sums are exact integers and the
+* Statistics are rounded to hundredths before anything is summed, so sums are exact integers and the
   result does not depend on partitions. Repeated rows and ids are judged one by one.
 * Texts of any length are taken whole. Repeated 5-word windows are told apart by 64-bit hashes within one text.
 * An empty table gives an empty table. Other columns are not read; ``passing`` passes them on, whatever
@@ -22,9 +28,8 @@ Defined results
 
 At scale
 --------
-One pass over the texts; what follows reads a table of narrow columns. A concentration step is one pass over
-it: counts and sums for each bin of distance, combined before the shuffle, and running sums over the bins,
-which the floor on every variance bounds. So no group meets one task. Estimates, a row for each group and
+One pass over the texts; what follows reads the distinct vectors of each group. A concentration step is one pass over
+them: counts and sums for each bin of distance, combined before the shuffle, and running sums over the bins. So no group meets one task. Estimates, a row for each group and
 start, are broadcast only where they were measured to stay below ``BROADCAST_BYTES``.
 """
 
@@ -36,26 +41,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.text import WORD, words
-from textloom.plans.lineage import BROADCAST_BYTES, checkpointed
+from textloom.plans.lineage import BROADCAST_BYTES, checked_broadcast, checkpointed
 
-#: Production parameters. Standard deviations (in thousandths) added to each statistic's own, so that
-#: a statistic which clean documents hold constant has a width; fewest documents of an estimate (ten for each
-#: statistic); share of the documents in the core; cutoff (chi-squared, 3 degrees, 0.9999).
-FLOOR, MIN_GROUP, CORE, CUTOFF = (150, 300, 500), 30, 0.5, 21.108
+#: Production parameters. Variance added to each statistic's own, in squared hundredths (below 0.1 % of what documents have);
+#: words beyond which the spread of rates no longer falls; fewest documents of an estimate (ten for each
+#: statistic); share of the documents in the core; cutoff (chi-squared, 3 degrees, 0.999999).
+FLOOR, WORDS, MIN_GROUP, CORE, CUTOFF = 1, 1000, 30, 0.5, 30.665
 #: Chi-squared constants for 3 degrees of freedom: 0.975 quantile, and factors that make the
 #: covariance of the closest half, and of the closest 0.975, consistent for normal data.
 Q975, HALF_FACTOR, REWEIGHT_FACTOR = 9.348, 2.457, 1.078
-#: Parts of a unit of distance; quantiles that are the centre of a start, with the floor as its covariance,
-#: besides the start from all documents' moments; share by which a determinant has to fall.
+#: Parts of a unit of distance; quantiles that are the centre of a start, with squared quartile ranges as its
+#: variances, besides the start from all documents' moments; share by which a determinant has to fall.
 BINS, STARTS, FALL = 256, (0.5, 0.25, 0.75), 1e-9
 SYMBOLS = "#*$%&|<>"
+SIGNS, CAPITALS = ".,;:!?" + SYMBOLS, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIMS = (0, 1, 2)
 PAIRS = tuple((i, j) for i in DIMS for j in DIMS if i <= j)
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) in place of
-    the column ``text``."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_signs, n_capitals (longs) in
+    place of the column ``text``."""
     keep = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     first = docs.select(*keep, text.alias("text"), words(F.col("text")).alias("w"))
@@ -65,7 +71,7 @@ def counted(docs: DataFrame) -> DataFrame:
         *keep,
         n.cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        *((F.length("text") - F.length(F.translate("text", x, ""))).cast("long").alias(n) for n, x in (("n_symbols", SYMBOLS), ("n_signs", SIGNS), ("n_capitals", CAPITALS))),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(n >= 5, F.slice(windows, F.lit(1), F.greatest(n - 4, F.lit(0)))).otherwise(F.array().cast("array<bigint>")).alias("seen"),
     )
@@ -88,13 +94,25 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
-def transformed(n_words: Column, word_chars: Column, n_symbols: Column, n_repeat_words: Column) -> list[Column]:
-    """Log word length, log symbol rate and log repeat rate, in thousandths (longs)."""
+def rates(n_words: Column, word_chars: Column, n_signs: Column, n_capitals: Column) -> list[Column]:
+    """Log word length, log rate of signs and log rate of capitals, in thousandths (longs)."""
     n, c = F.greatest(n_words, F.lit(1)), F.greatest(word_chars, F.lit(1))
-    raw = (F.log(c / n), F.log(1 + 100 * n_symbols / c), F.log(1 + 10 * n_repeat_words / n))
+    raw = (F.log(c / n), F.log(1 + 100 * n_signs / c), F.log(1 + 100 * n_capitals / c))
     return [F.round(1000 * x, 0).cast("long") for x in raw]
 
 
+def transformed(table: DataFrame) -> DataFrame:
+    """``table`` with x0, x1, x2 in place of the rates f0, f1, f2: their distance from the median of the language's documents
+    that pass the base rules, times the root of the words, in hundredths (longs)."""
+    middle = [F.expr(f"percentile_disc(0.5) within group (order by f{i})").cast("long").alias(f"c{i}") for i in DIMS]
+    centres = checked_broadcast(table.where(~F.col("base_failed")).groupBy(F.col("lang").alias("c_lang")).agg(*middle))
+    n = F.col("n_words").cast("double")
+    factor = F.sqrt(n * WORDS / (n + WORDS))
+    x = [F.round((F.col(f"f{i}") - F.col(f"c{i}")) * factor / 10, 0).cast("long").alias(f"x{i}") for i in DIMS]
+    kept = [c for c in table.columns if c not in {f"f{i}" for i in DIMS}]
+    return table.join(centres, F.col("lang").eqNullSafe(F.col("c_lang")), "left").select(*kept, *x)
+
+
 def quadratic(d: list[Column], a: dict[tuple[int, int], Column]) -> Column:
     """d' A d for a symmetric A given by its upper triangle."""
     terms = [d[i] * d[j] * a[i, j] * (1.0 if i == j else 2.0) for i, j in PAIRS]
@@ -113,7 +131,7 @@ def estimates(sums: DataFrame, factor: float, *keys: str) -> DataFrame:
 
     def cov(i: int, j: int) -> Column:
         spread = (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(factor)
-        return spread + F.lit(float(FLOOR[i] ** 2)) if i == j else spread
+        return spread + F.lit(float(FLOOR)) if i == j else spread
 
     with_cov = mean.select(*keys, *(f"m{i}" for i in DIMS), *(cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS))
     c = {(i, j): F.col(f"c{min(i, j)}{max(i, j)}") for i in DIMS for j in DIMS}
@@ -146,14 +164,16 @@ def concentrated(rows: DataFrame, model: DataFrame, small: bool) -> DataFrame:
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """The first models of each group: (lower) quantiles with the floor as covariance, and all moments."""
+    """The first models of each group: (lower) quantiles with squared quartile ranges as variances, and all moments."""
     long = rows.select("g", F.posexplode(F.array(*(f"x{i}" for i in DIMS))).alias("dim", "x")).groupBy("g", "dim", "x").agg(F.count("*").alias("n"))
     part = Window.partitionBy("g", "dim")
     running = long.withColumn("upto", F.sum("n").over(part.orderBy("x"))).withColumn("all", F.sum("n").over(part))
     at = running.groupBy("g", "dim").agg(*(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("x"))).cast("double").alias(f"q{k}") for k, q in enumerate(STARTS)))
     wide = at.groupBy("g").agg(F.array(*(F.struct(F.lit(k).alias("start"), *(F.max(F.when(F.col("dim") == i, F.col(f"q{k}"))).alias(f"m{i}") for i in DIMS)) for k in range(len(STARTS)))).alias("of"))
-    width = [F.lit(1.0 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"a{i}{j}") for i, j in PAIRS]
-    centres = wide.select("g", F.explode("of").alias("of")).select("g", "of.*", *width)
+    low, high = (STARTS.index(q) for q in (0.25, 0.75))
+    wide = wide.select("*", *(F.greatest(F.get("of", high)[f"m{i}"] - F.get("of", low)[f"m{i}"], F.lit(1.0)).alias(f"r{i}") for i in DIMS))
+    width = [(1.0 / (F.col(f"r{i}") * F.col(f"r{i}")) if i == j else F.lit(0.0)).alias(f"a{i}{j}") for i, j in PAIRS]
+    centres = wide.select("g", F.explode("of").alias("of"), *(f"r{i}" for i in DIMS)).select("g", "of.*", *width)
     every = estimates(rows.groupBy("g").agg(*moments()), 1.0, "g").withColumn("start", F.lit(len(STARTS)))
     return centres.union(every.select(*centres.columns))
 
@@ -196,10 +216,10 @@ def same_group() -> Column:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """Counts, ``base_failed`` and x0, x1, x2 in place of the text."""
+    """Counts, ``base_failed`` and x0, x1, x2 in place of the text; the texts are read once."""
     table = counted(docs).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    x = transformed(*(F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")))
-    return table.select("*", *(c.alias(f"x{i}") for i, c in zip(DIMS, x)))
+    f = rates(*(F.col(c) for c in ("n_words", "word_chars", "n_signs", "n_capitals")))
+    return transformed(checkpointed(table.select("*", *(c.alias(f"f{i}") for i, c in zip(DIMS, f)))))
 
 
 def fitted(table: DataFrame) -> DataFrame:
@@ -210,7 +230,7 @@ def fitted(table: DataFrame) -> DataFrame:
     size = groups.agg(F.sum(F.octet_length("g") + 200).alias("n")).first()["n"] or 0
     small = size * (len(STARTS) + 1) <= BROADCAST_BYTES
     groups = F.broadcast(groups) if small else groups
-    rows = checkpointed(passed.join(groups, same_group()).select(F.explode("members").alias("g"), *(f"x{i}" for i in DIMS)))
+    rows = checkpointed(passed.join(groups, same_group()).select(F.explode("members").alias("g"), *(f"x{i}" for i in DIMS)).distinct())
     near = distances(rows, least_determinant(rows, small), small).where(F.col("d2") <= Q975)
     model = estimates(near.groupBy("g").agg(*moments()), REWEIGHT_FACTOR, "g").drop("det")
     out = checkpointed(groups.drop("members").join(model, "g").drop("g"))
@@ -235,7 +255,7 @@ def own_columns(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sour
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Each document's id, counts, ``base_failed``, ``distance`` and ``kept``."""
-    table = checkpointed(prepared(docs.select(*own_columns(docs, id_col, text_col, lang_col, source_col))))
+    table = prepared(docs.select(*own_columns(docs, id_col, text_col, lang_col, source_col)))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
     return scored(table, fitted(table)).select(F.col("id").alias(id_col), *names)
 
@@ -245,6 +265,6 @@ def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     their counts in a checkpoint, so that the verdict needs no second pass over them and no shuffle."""
     own = own_columns(docs, id_col, text_col, lang_col, source_col)
     whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("whole")
-    table = checkpointed(prepared(docs.select(*own, whole)))
+    table = prepared(docs.select(*own, whole))
     columns = [F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)]
     return scored(table, fitted(table)).where("kept").select(*columns)
