@@ -52,7 +52,7 @@ FLOOR, WORDS, MIN_GROUP, CORE, CUTOFF = 1, 1000, 30, 0.5, 30.665
 Q975, HALF_FACTOR, REWEIGHT_FACTOR = 9.348, 2.457, 1.078
 #: Parts of a unit of distance; quantiles that are the centre of a start, with squared quartile ranges as its
 #: variances, besides the start from all documents' moments; share by which a determinant has to fall.
-BINS, STARTS, FALL = 256, (0.5, 0.25, 0.75), 1e-9
+BINS, STARTS, FALL = 256, (0.5, 0.25, 0.75), 1e-3
 SYMBOLS = "#*$%&|<>"
 SIGNS, CAPITALS = ".,;:!?" + SYMBOLS, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIMS = (0, 1, 2)
