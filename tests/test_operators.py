@@ -181,3 +181,82 @@ def test_checked_broadcast(spark):
     small = spark.range(10).toDF("a")
     plan = lambda limit: small.join(checked_broadcast(small.toDF("a"), limit), "a")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(10_000) and "broadcast" not in plan(10)
+
+
+def test_lines_stop_at_the_first_refusal_of_a_file_that_spans_tasks(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name, stop in (("a", 700), ("b", 3), ("c", None)):
+        (folder / name).write_text("".join("STOP\n" if k == stop or k == 900 and stop else f"{name} {k}\n" for k in range(1000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        rows = lines.numbered_lines(spark, str(folder))
+        assert rows.rdd.getNumPartitions() > 8
+        expected = sorted(f"{n} {k}" for n, end in (("a", 700), ("b", 3), ("c", 1000)) for k in range(end))
+        assert sorted(r["value"] for r in lines.until_refused(rows, F.col("value") != "STOP", ["file"], ["block", "at"]).collect()) == expected
+        called = spark.sparkContext.accumulator(0)
+
+        def accepts(line):
+            called.add(1)
+            return line != "STOP"
+
+        out = lines.process_ordered(rows, accepts, ["file"], ["block", "at"])
+        assert out.columns == ["file", "block", "at", "value"] and sorted(r["value"] for r in out.collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    odd = spark.createDataFrame([(None, 1, "x"), (None, 2, None), (None, 3, "y"), (1, 1, "z")], "g int, n int, v string")
+    assert sorted(r["v"] for r in lines.until_refused(odd, F.col("v") != "q", ["g"], ["n"]).collect()) == ["x", "z"]
+
+
+def test_counted_stream_goes_on_after_a_restart_and_forgets_idle_words(spark, tmp_path):
+    import datetime
+    import random
+
+    rng, day = random.Random(3), datetime.datetime(2024, 1, 1)
+    schema = "word string, seq long, op int, ts timestamp"
+    log = [(rng.choice("abcd"), k, rng.choice([1, -1, -1]), day + datetime.timedelta(minutes=k)) for k in range(60)]
+    folder, path = tmp_path / "log", f"file://{tmp_path}/stream"
+
+    def arrive(rows):
+        spark.createDataFrame(rng.sample(rows, len(rows)), schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def counts(idle_ms=10**12):
+        out = streams.replayed_stream(spark, str(folder), spark.createDataFrame([], schema).schema, path, 1, idle_ms)
+        return out.groupBy("word").agg(F.max_by(F.struct("cnt", "expired"), F.struct("seq", "batch")).alias("x")).select("word", "x.*")
+
+    for start in (0, 20):
+        arrive(log[start : start + 20])
+    counts()
+    arrive(log[40:])
+    got = {r["word"]: r["cnt"] for r in counts().collect()}  # a new query from the checkpoint
+    replayed = matching.replayed(spark.createDataFrame(log, schema))
+    assert got == {r["word"]: r["cnt"] for r in replayed.collect()}
+    again = {r["word"]: r["cnt"] for r in counts().collect()}
+    assert again == got
+
+    path = f"file://{tmp_path}/idle"
+    folder = tmp_path / "idle_log"
+    hour = 3_600_000
+    arrive([("old", 0, 1, day), ("new", 1, 1, day)])
+    arrive([("new", 2, 1, day + datetime.timedelta(hours=5))])
+    arrive([("new", 3, 1, day + datetime.timedelta(hours=9))])
+    arrive([("old", 4, 1, day + datetime.timedelta(hours=9))])
+    rows = streams.replayed_stream(spark, str(folder), spark.createDataFrame([], schema).schema, path, 1, 2 * hour).collect()
+    assert ("old", 1, True) in {(r["word"], r["cnt"], r["expired"]) for r in rows}
+    assert max((r["seq"], r["cnt"]) for r in rows if r["word"] == "old") == (4, 1)  # begins anew
+
+
+def test_strong_parts_against_reachability(spark):
+    import random
+
+    rng = random.Random(12)
+    for n, m in ((12, 16), (30, 45), (40, 38)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {a: {a2 for b, a2 in pairs if b == a} for a in range(n)}
+        for _ in range(n):
+            reach = {a: r.union(*(reach[b] for b in r)) if r else r for a, r in reach.items()}
+        expected = {a: max(b for b in r if a in reach[b]) for a, r in reach.items() if a in r}
+        edges = spark.createDataFrame([*pairs, *list(pairs)[:3]], "src int, dst int")
+        assert {r["node"]: r["part"] for r in graph.strong_parts(edges).collect()} == expected
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")
+    assert graph.strong_parts(chain).collect() == [] == graph.strong_parts(chain.limit(0)).collect()

@@ -12,7 +12,8 @@ from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, ti
 from textloom.operators import graph, matching, patterns
 from textloom.plans.lineage import stage_path
 from textloom.sources import store
-from textloom.sources.lines import split_lines
+from textloom.sources.lines import process_ordered, split_lines, until_refused
+from textloom.streaming import lines as streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -424,7 +425,7 @@ def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k, '{\"k\":' || json_extract_string(props, '$.k') || '}' as again from events")
 def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSN-2 to JSN-5, JSN-7."""
+    """JSN-2, JSN-5, JSN-7."""
     read = jsonops.from_text(F.col("props"), "k bigint", ())
     return table(spark, sf_dir, "events").select("event_id", read.alias("m")).select("event_id", "m.k", jsonops.fast(F.col("m")).alias("again"))
 
@@ -464,7 +465,7 @@ def log2_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     (epoch_us(ts) + 999) // 1000 as ms_up, date_trunc('day', ts)::varchar as midnight from events"""
 )
 def event_time_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TIM-1 to TIM-7."""
+    """TIM-1, TIM-3 to TIM-5, TIM-7."""
     ts = F.col("ts").cast("timestamp")
     us = F.unix_micros(ts)
     return table(spark, sf_dir, "events").select(
@@ -695,3 +696,60 @@ def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         after.append(store.write_batch(spark, path, ops.where(F.col("event_id") % 3 == batch), [F.asc("event_id")]))
     scans = [store.scan(spark, path, "00000040", "00000120", after[k]).select(F.lit(k).alias("snapshot"), "key", "value") for k in (0, 2)]
     return scans[0].union(scans[1])
+
+
+_UNTIL = """with s as (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as l from documents where text <> ''),
+    u as (select doc_id, unnest(l) as line, (generate_subscripts(l, 1) - 1)::int as line_no from s),
+    f as (select doc_id, min(line_no) as stop from u where starts_with(line, 'Th') group by doc_id)
+    select u.doc_id, line_no, line from u left join f using (doc_id) where stop is null or line_no < stop"""
+
+
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", skip_empty=False)
+
+
+@query(_UNTIL)
+def lines_until_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3, LIM-2: the lines of each document before the first that begins with `Th`, found by all tasks."""
+    return until_refused(_document_lines(spark, sf_dir), ~F.col("line").startswith("Th"), ["doc_id"], ["line_no"])
+
+
+@query(_UNTIL)
+def lines_until_refused_by_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3, LIM-2, UDF-1: the same by calls in order, which end with the first refusal."""
+    return process_ordered(_document_lines(spark, sf_dir), lambda line: not line.startswith("Th"), ["doc_id"], ["line_no"], "line")
+
+
+@query(
+    """with l as (select 'u' || user_id as word, event_id as seq, case when event_type = 'error' then -1 else 1 end as op from events),
+    r as (select *, sum(op) over (partition by word order by seq) as running from l)
+    select word, (sum(op) - least(min(running), 0))::bigint as cnt from r group by word"""
+)
+def stream_counted_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRI-1, TRI-2, Q-2, Q-5: `events` as a stream of inserts and, for errors, removals of user ids, in several batches with state
+    between them; the last count that each word was given."""
+    events = table(spark, sf_dir, "events")
+    log = events.select(F.concat(F.lit("u"), "user_id").alias("word"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("op"), F.col("ts").cast("timestamp").alias("ts"))
+    path = stage_path(spark, "stream")
+    least, most = log.agg(F.min("seq"), F.max("seq")).first()
+    for quarter in range(4):  # files arrive one after the other
+        log.where(F.floor((F.col("seq") - least) * 4 / (most - least + 1)) == quarter).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    given = streams.replayed_stream(spark, f"{path}/log", log.schema, path, files_per_batch=1, idle_ms=10 * 365 * 86_400_000)
+    return given.groupBy("word").agg(F.max_by("cnt", F.struct("seq", "cnt")).alias("cnt"))
+
+
+@query(
+    """with recursive e as materialized (select distinct 'c' || o_custkey as src, 'p' || l_partkey as dst from orders join lineitem on l_orderkey = o_orderkey where l_linenumber = 1
+    union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem where l_linenumber = 2 union select distinct 's' || s_suppkey, 'c' || (s_suppkey * 7) from supplier where s_suppkey % 2 = 0),
+    r as (select src as a, dst as b from e union select r.a, e.dst from r join e on r.b = e.src),
+    both_ as (select a, b from r where exists (select 1 from r as q where q.a = r.b and q.b = r.a))
+    select a as node, max(b) as part from both_ group by a"""
+)
+def strongly_connected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-3: parts of the graph of customers, parts and suppliers that orders and their lines make."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    named = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    bought = orders.join(lines.where("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).select(named("c", "o_custkey").alias("src"), named("p", "l_partkey").alias("dst"))
+    made = lines.where("l_linenumber = 2").select(named("p", "l_partkey").alias("src"), named("s", "l_suppkey").alias("dst"))
+    sold = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(named("s", "s_suppkey").alias("src"), F.concat(F.lit("c"), (F.col("s_suppkey") * 7).cast("string")).alias("dst"))
+    return graph.strong_parts(bought.union(made).union(sold).distinct())

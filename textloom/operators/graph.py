@@ -40,9 +40,64 @@ def dependents(edges: DataFrame, node: str) -> DataFrame:
     return dependencies(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), node)
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """``edges`` without those of nodes that no edge enters or none leaves, over and over: they are on no cycle."""
+    now = checkpointed(edges)
+    n = now.count()
+    while n:
+        inner = now.select(F.col("src").alias("node")).intersect(now.select(F.col("dst").alias("node")))
+        left = now.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+        now = checkpointed(left)
+        before, n = n, now.count()
+        if n == before:
+            break
+    return now
+
+
+def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, colour)`` with each node's greatest colour along ``edges`` (src to dst), its own included."""
+    now = front = checkpointed(colours)
+    while not front.isEmpty():
+        # Only colours that grew in the last round go on; of those that meet at a node the greatest counts.
+        sent = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+        both = checkpointed(now.join(sent, "node", "left").select("node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("grew")))
+        now, front = both.select("node", "colour"), both.where("grew").select("node", "colour")
+    return now
+
+
+def strong_parts(edges: DataFrame) -> DataFrame:
+    """GRF-3 (M): ``(node, part)`` of every node on a cycle; ``part`` is the greatest node of its strongly connected part.
+
+    Nodes without edges in or out are peeled off. Each node takes the greatest node that reaches it as its colour (forward); the
+    nodes of a colour that reach its own node (backward) are one part. Parts go and the rest is coloured again. No
+    pairs of nodes are made: a round sends a colour along each edge at most."""
+    loops = checkpointed(edges.where("src = dst").select(F.col("src").alias("node")).distinct())
+    left = _peeled(edges.where("src <> dst").select("src", "dst").distinct())
+    parts = None
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
+        colours = _spread(nodes.select("node", F.col("node").alias("colour")), left)
+        ends = [colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour")) for c in ("src", "dst")]
+        within = checkpointed(left.join(ends[0], "src").join(ends[1], "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
+        found = front = checkpointed(colours.where("node = colour"))
+        while not front.isEmpty():
+            back = front.toDF("dst", "colour").join(within, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            front = checkpointed(back.join(found, ["node"], "left_anti"))
+            found = checkpointed(found.union(front))
+        parts = found if parts is None else checkpointed(parts.union(found))
+        gone = found.select("node")
+        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        left = _peeled(rest)
+    if parts is None:
+        return loops.select("node", F.col("node").alias("part"))
+    shared = parts.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+    real = checkpointed(parts.join(shared, "colour", "left_semi").select("node", F.col("colour").alias("part")))
+    return real.union(loops.join(real, "node", "left_anti").select("node", F.col("node").alias("part")))
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
     """GRF-3 (M): the nodes that are on a cycle."""
-    return closure(edges).where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
+    return strong_parts(edges).select("node")
 
 
 def levels(edges: DataFrame) -> DataFrame:

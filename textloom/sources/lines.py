@@ -6,14 +6,17 @@ character of an unterminated line, or hands on blank lines with their ``\\n``, t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import SkipRestOfInputTableException
 
 from textloom.functions.text import ascii_lower
+from textloom.plans.lineage import checked_broadcast
 
 
 def keeps(line: Column, skip_empty: bool = True, comment_prefix: str = "") -> Column:
@@ -38,10 +41,27 @@ def split_lines(df: DataFrame, text_col: str, skip_empty: bool = True, comment_p
     return df.select(*rest, F.posexplode(lines).alias("line_no", "line")).where(keeps(F.col("line"), skip_empty, comment_prefix))
 
 
+def numbered_lines(spark: SparkSession, path: str, skip_empty: bool = True, comment_prefix: str = "") -> DataFrame:
+    """SRC-1, SRC-2 with the order of files: ``file``, and ``block`` and ``at``, which ascend with the lines of a file
+    however many tasks read it."""
+    lines = read_lines(spark, path, False)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return placed.where(keeps(F.col("value"), skip_empty, comment_prefix))
+
+
+def until_refused(lines: DataFrame, accepted: Column, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """SRC-3, LIM-2 (I): of each group ``by``, the rows before the first, by ``order``, that is not accepted. All tasks look for
+    refused rows; the first place of each group is a grouped minimum, so a group of any size is shared among tasks."""
+    place = F.struct(*order)
+    first = lines.where(~F.coalesce(accepted, F.lit(False))).groupBy(*by).agg(F.min(place).alias("__first"))
+    stops = checked_broadcast(first.select(*(F.col(c).alias(f"__{c}") for c in by), "__first"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    return lines.join(stops, same, "left").where(F.col("__first").isNull() | (place < F.col("__first"))).select(*lines.columns)
+
+
 def process_lines(df: DataFrame, callback: Callable[[str], bool]) -> DataFrame:
-    """SRC-3, LIM-2, UDF-1 (I): the lines of each partition for which ``callback`` was true, up to the
-    first for which it is false. A file order needs one partition a file, as the text source of a small
-    file gives."""
+    """SRC-3, LIM-2, UDF-1 (I) without an order of files: the lines of each partition for which ``callback`` was true, up to
+    the first for which it is false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = (x.as_py() for batch in batches for x in batch.column(0))
@@ -50,6 +70,20 @@ def process_lines(df: DataFrame, callback: Callable[[str], bool]) -> DataFrame:
     return df.select("value").mapInArrow(run, "value string")
 
 
+def process_ordered(lines: DataFrame, callback: Callable[[str], bool], by: Sequence[str], order: Sequence[str], value_col: str = "value") -> DataFrame:
+    """SRC-3, LIM-2, UDF-1 (I): the lines for which ``callback`` was true, up to the first of each group ``by`` for which it is
+    false. It is called in order and never after that line: the rest of the group is skipped, not read by Python. A group is
+    one task's, as calls in order need; ``until_refused`` shares it where a column can say what is refused."""
+
+    class Until:
+        def eval(self, row: Row) -> Iterator[tuple]:
+            if not callback(row[value_col]):
+                raise SkipRestOfInputTableException("refused")
+            yield tuple(row)
+
+    return F.udtf(Until, returnType=lines.schema.simpleString().removeprefix("struct<").removesuffix(">"))(lines.asTable().partitionBy(*by).orderBy(*order))
+
+
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5 (T): each file as one string ``value``."""
     return spark.read.text(path, wholetext=True)
