@@ -53,6 +53,8 @@ Q975, HALF_FACTOR, REWEIGHT_FACTOR = 9.348, 2.457, 1.078
 #: Parts of a unit of distance; quantiles that are the centre of a start, with squared quartile ranges as its
 #: variances, besides the start from all documents' moments; share by which a determinant has to fall.
 BINS, STARTS, FALL = 256, (0.5, 0.25, 0.75), 1e-3
+#: Vectors of one task of a step, so that few vectors make no small tasks and files.
+VECTORS_AT_ONCE = 400_000
 SYMBOLS = "#*$%&|<>"
 SIGNS, CAPITALS = ".,;:!?" + SYMBOLS, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIMS = (0, 1, 2)
@@ -208,7 +210,7 @@ def grouping(rows: DataFrame) -> DataFrame:
     out = named.join(by_lang, "wide").withColumn("g", g)
     any_rest = F.lit(not out.where(F.col("g") == F.col("every")).isEmpty())
     feeds = F.array_compact(F.array(F.when(large, F.col("own")), F.when(fits & F.col("lang_used"), F.col("wide")), F.when(any_rest, F.col("every"))))
-    return out.select("k_lang", "k_source", "g", feeds.alias("members"))
+    return out.select("k_lang", "k_source", "n", "g", feeds.alias("members"))
 
 
 def same_group() -> Column:
@@ -227,13 +229,14 @@ def fitted(table: DataFrame) -> DataFrame:
     passed = table.where(~F.col("base_failed")).select("lang", "source", *(f"x{i}" for i in DIMS))
     groups = checkpointed(grouping(passed))
     # Models take some 200 bytes for each group and start.
-    size = groups.agg(F.sum(F.octet_length("g") + 200).alias("n")).first()["n"] or 0
+    measured = groups.agg(F.sum(F.octet_length("g") + 200).alias("size"), F.sum(F.col("n") * F.size("members")).alias("vectors")).first()
+    size, parts = measured["size"] or 0, 1 + (measured["vectors"] or 0) // VECTORS_AT_ONCE
     small = size * (len(STARTS) + 1) <= BROADCAST_BYTES
     groups = F.broadcast(groups) if small else groups
-    rows = checkpointed(passed.join(groups, same_group()).select(F.explode("members").alias("g"), *(f"x{i}" for i in DIMS)).distinct())
+    rows = checkpointed(passed.join(groups, same_group()).select(F.explode("members").alias("g"), *(f"x{i}" for i in DIMS)).distinct().coalesce(parts))
     near = distances(rows, least_determinant(rows, small), small).where(F.col("d2") <= Q975)
     model = estimates(near.groupBy("g").agg(*moments()), REWEIGHT_FACTOR, "g").drop("det")
-    out = checkpointed(groups.drop("members").join(model, "g").drop("g"))
+    out = checkpointed(groups.drop("members", "n").join(model, "g").drop("g"))
     return F.broadcast(out) if small else out
 
 
