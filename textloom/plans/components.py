@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from textloom.plans.lineage import checkpointed
 
+#: Edges of one task of a round, so that few edges make no small tasks and files.
+EDGES_AT_ONCE = 1_000_000
+
 
 def _star(arcs: DataFrame) -> DataFrame:
     """``(u, v)`` arcs to ``(v, m)``: each neighbour of u, and u itself, to the least of them all."""
@@ -31,9 +34,9 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.where(F.col("a") != F.col("b"))
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """``edges`` with their lineage cut, and a mark that tells their set from another."""
-    kept = checkpointed(edges)
+def _kept(edges: DataFrame, expected: int) -> tuple[DataFrame, tuple]:
+    """``edges`` with their lineage cut, in tasks that suit their expected number, and a mark that tells their set from another."""
+    kept = checkpointed(edges.coalesce(1 + expected // EDGES_AT_ONCE))
     row = kept.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return kept, (row["n"], row["h"])
 
@@ -41,11 +44,12 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` edges of any comparable type to ``(node, label)`` for every node of an edge; the
     label is the least node of its component."""
-    now = edges.toDF("a", "b").where(F.col("a") != F.col("b")).distinct()
-    mark = None
+    now = checkpointed(edges.toDF("a", "b").where(F.col("a") != F.col("b")).distinct())
+    mark, n = None, now.count()
     while True:
-        # Arcs point from a node to a smaller one after each pass.
-        now, found = _kept(_small(_large(now)).distinct())
+        # Arcs point from a node to a smaller one after each pass; there are never more than a node and its neighbours.
+        now, found = _kept(_small(_large(now)).distinct(), n)
+        n = found[0]
         if found == mark:
             break
         mark = found
