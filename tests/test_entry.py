@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for name in ("region", "nation", "part", "orders", "events", "documents", "embeddings", "pages", "benchmark"):
+    for name in ("region", "nation", "part", "orders", "lineitem", "supplier", "events", "documents", "embeddings", "pages", "benchmark"):
         c.execute(f"create view {name} as select * from read_parquet('{DATA}/{name}.parquet')")
     return c
 

@@ -680,7 +680,7 @@ _EVENT_OPS = """select lpad(user_id::varchar, 8, '0') || '/' || hour(ts) as "key
 @query(
     f"""with o as ({_EVENT_OPS}), s as (select unnest([0, 2]) as s),
     last_ as (select s, "key", max_by(struct_pack(v := "value", d := deleted), (batch, event_id)) as x from o join s on batch <= s group by all)
-    select s::int as "snapshot", "key", x.v as "value" from last_ where not x.d and "key" >= '00000040' and "key" < '00000120'"""
+    select s::int as "snapshot", "key", x.v as "value" from last_ where not x.d and "key" >= '00000003' and "key" < '00000120'"""
 )
 def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CON-2: puts and deletes from `events` in three batches, with a compaction before the last; a range of keys as
@@ -694,7 +694,7 @@ def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         if batch == 2:
             store.compact(spark, path, live=after[:1])
         after.append(store.write_batch(spark, path, ops.where(F.col("event_id") % 3 == batch), [F.asc("event_id")]))
-    scans = [store.scan(spark, path, "00000040", "00000120", after[k]).select(F.lit(k).alias("snapshot"), "key", "value") for k in (0, 2)]
+    scans = [store.scan(spark, path, "00000003", "00000120", after[k]).select(F.lit(k).alias("snapshot"), "key", "value") for k in (0, 2)]
     return scans[0].union(scans[1])
 
 
