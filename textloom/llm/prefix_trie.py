@@ -3,7 +3,7 @@
 All conversations begin in one class. A round splits the active classes by their next turns: a class that is left with one
 conversation retires, and the rest of that conversation becomes a chain of nodes without any further grouping. A round takes as many
 turns as all rounds before it, up to ``MOST_TURNS``, so that their number grows with the logarithm of the depth at which the
-last two conversations part. Within a round classes are told apart by a label for each turn: the XOR of 128 bits for each
+last two conversations part. Within a round classes are told apart by a label for each turn: the XOR of two 64-bit hashes for each
 (place, turn) up to it. Folding back sums leaves and saved bytes: each node's share is put on the row of its smallest member, a
 conversation's rows are summed from the last to the first, and then by class.
 
