@@ -225,7 +225,7 @@ def kmp_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     length(text)::int as runes, unicode(text)::int as first, instr(text, 'e')::int - 1 as at, true as valid from documents"""
 )
 def string_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-4, STR-5, UTF-1 to UTF-5."""
+    """STR-4, STR-5, UTF-1 to UTF-4."""
     t = F.col("text")
     there_and_back = text.narrow(text.wide(t)) == t
     return table(spark, sf_dir, "documents").select(
@@ -529,7 +529,7 @@ def graphviz_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select n_nationkey, 'Nation ' || n_name || ' <' || n_regionkey || '>' as page, case when n_name = '' then [] else [n_name] end as as_list from nation")
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TPL-1 to TPL-4, ARR-1."""
+    """TPL-1, TPL-2, ARR-1."""
     values = F.create_map(F.lit("NAME"), F.col("n_name"), F.lit("REGION"), F.col("n_regionkey").cast("string"))
     page = misc.rendered("Nation {{NAME:h}}{{! a comment }}{{#REGION}} <{{REGION}}>{{/REGION}}", values)
     return table(spark, sf_dir, "nation").select("n_nationkey", page.alias("page"), misc.to_list(F.col("n_name")).alias("as_list"))
