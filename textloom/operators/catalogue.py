@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import bits, codec, hashing, jsonops, kv, misc, text, timeops, unicode, url
-from textloom.operators import graph, matching, patterns
+from textloom.operators import charsets, graph, html, matching, patterns, training
 from textloom.plans.lineage import stage_path
 from textloom.sources import store
 from textloom.sources.lines import process_ordered, split_lines, until_refused
@@ -753,3 +753,97 @@ def strongly_connected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.where("l_linenumber = 2").select(named("p", "l_partkey").alias("src"), named("s", "l_suppkey").alias("dst"))
     sold = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(named("s", "s_suppkey").alias("src"), F.concat(F.lit("c"), (F.col("s_suppkey") * 7).cast("string")).alias("dst"))
     return graph.strong_parts(bought.union(made).union(sold).distinct())
+
+
+_VOID_SQL = ", ".join(f"'{v}'" for v in html.VOID)
+
+
+def _html_sql(last: str) -> str:
+    """Elements as intervals: starts and ends of one name paired on their level, then those of all names."""
+    token = (
+        r"""<!--[\s\S]*?(?:-->|\z)|<(?i:script)\b[^>]*>[\s\S]*?(?:</(?i:script)[^>]*>|\z)|<(?i:style)\b[^>]*>[\s\S]*?(?:</(?i:style)[^>]*>|\z)"""
+        r"""|</?[A-Za-z](?:[^>"'']+|"[^"]*"|''[^'']*'')*>|<[!?][^>]*>|[^<]+|<"""
+    )
+    return rf"""with raw as (select page_id, regexp_extract_all(html, '{token}') as w from pages),
+    listed as (select page_id, unnest(w) as token, generate_subscripts(w, 1) - 1 as "at" from raw),
+    named as (select *, lower(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) as name from listed),
+    t as (select *, case when name = '' or token not like '%>' then 'text' when token like '</%' then 'end'
+        when name in ({_VOID_SQL}) or token like '%/>' then 'void' else 'start' end as kind
+        from named where not starts_with(token, '<!') and not starts_with(token, '<?') and name not in ('script', 'style')),
+    tags as (select *, case kind when 'start' then 1 else -1 end as way from t where kind in ('start', 'end')),
+    sums as (select *, sum(way) over (partition by page_id, name order by "at") as s from tags),
+    lows as (select *, least(0, min(s) over (partition by page_id, name order by "at")) as low,
+        least(0, coalesce(min(s) over (partition by page_id, name order by "at" rows between unbounded preceding and 1 preceding), 0)) as before from sums),
+    levels as (select *, s - low + (kind = 'end')::int as own from lows where kind = 'start' or s >= before),
+    pairs as (select page_id, name, "at", kind, lead(kind) over w as follows, lead("at") over w as till
+        from levels window w as (partition by page_id, name, own order by "at")),
+    whole as (select page_id, name, "at", till from pairs where kind = 'start' and follows = 'end'),
+    marks as (select page_id, name, "at", 1 as way from whole union all select page_id, name, till, -1 from whole),
+    deep as (select *, sum(way) over (partition by page_id order by "at") + (way = -1)::int as own from marks),
+    closed as (select page_id, name, "at", way, lead(name) over w as other, lead("at") over w as till
+        from deep window w as (partition by page_id, own order by "at")),
+    elements as (select page_id, name, "at", till from closed where way = 1 and other = name),
+    wanted as ({last}),
+    paths as (select w.page_id, w."at", string_agg(e.name, '/' order by e."at") as path from wanted w
+        join elements e on e.page_id = w.page_id and e."at" < w."at" and w."at" < e.till group by 1, 2)
+    select w.page_id, w."at"::int as "at", coalesce(p.path, '') as path, w.* exclude (page_id, "at") from wanted w left join paths p on p.page_id = w.page_id and p."at" = w."at" """
+
+
+def _plain_sql(x: str) -> str:
+    for mark, sign in html.ENTITIES:
+        x = f"replace({x}, '{mark}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({x}, '[ \t\r\n\f]+', ' ', 'g'), ' ')"
+
+
+@query(_html_sql(f"""select page_id, "at", {_plain_sql("token")} as text from t where kind = 'text' and {_plain_sql("token")} <> ''"""))
+def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CON-5: every text of every page, with the elements around it."""
+    return html.texts(table(spark, sf_dir, "pages"))
+
+
+@query(
+    _html_sql(
+        r"""select page_id, "at", regexp_extract(token, '(?i)\shref\s*=\s*"([^"]*)"', 1) as href from t
+        where name = 'a' and kind in ('start', 'void') and regexp_matches(token, '(?i)\shref\s*=')"""
+    )
+)
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CON-5: every link of every page, with the elements around it."""
+    return html.links(table(spark, sf_dir, "pages"))
+
+
+#: Charsets that the texts of ``recoded_charsets`` are written in. Fixed values.
+_WRITTEN = ("utf-8", "latin_1", "cp850", "mac_roman", "cp500", "utf-16-le", "utf-16-be", "gb18030")
+
+
+@query(
+    f"""select doc_id, case when doc_id % 8 in (0, 1, 2, 3, 7) and not regexp_matches(text, '[^\\x00-\\x7f]') then 'utf-8'
+    else ({list(_WRITTEN)})[doc_id % 8 + 1] end as charset from documents"""
+)
+def recoded_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHS-1: whole texts written in eight charsets by turns, and the charset found for each from its bytes alone
+    (of charsets that read the same text, the first)."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.element_at(F.array(*map(F.lit, _WRITTEN)), (F.col("doc_id") % 8 + 1).cast("int"))
+    model = charsets.fitted(docs.select("text"))
+    rows = docs.select("doc_id", charsets.encoded(F.col("text"), name).alias("data"))
+    return rows.select("doc_id", charsets.detected(spark, model, F.col("data"), _WRITTEN)["charset"].alias("charset"))
+
+
+@query()
+def newton_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLA-1: a logistic model of each vector's label below 5, by trust-region Newton steps; weights by component,
+    the last one the bias."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+    found = training.newton(rows)
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(found.weights)], "at int, weight double")
+
+
+@query(
+    """select vec_id, round(sqrt(list_sum([x::double * x::double for x in embedding])), 9) as norm,
+    2.5 * embedding[-1]::double as last from embeddings"""
+)
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLA-1: norms, and the last components of scaled vectors."""
+    x = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(bits.norm(x), 9).alias("norm"), F.element_at(bits.scaled(2.5, x), -1).alias("last"))
