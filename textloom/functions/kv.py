@@ -28,9 +28,12 @@ def key_value_pairs(line: Column, delimiter: str = "=", pair_delimiter: str = "&
 
 
 def first_wins(pairs: Column) -> Column:
-    """KV-3, MAP-2: an array of ``struct(key, value)`` as a map; of repeated keys the first counts."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(pairs, lambda p: p["key"] == k)[0]["value"]))
+    """KV-3, MAP-2: an array of ``struct(key, value)`` as a map; of repeated keys the first counts. The pairs are
+    sorted by key and place, so the map is in the order of the keys."""
+    placed = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value")))
+    # The array in an array, so that a lambda's variable names the sorted one and it is made once.
+    first = F.transform(F.array(F.array_sort(placed)), lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["key"] != p["key"])))
+    return F.map_from_entries(F.transform(first[0], lambda p: F.struct(p["key"], p["value"])))
 
 
 def escaped(s: Column) -> Column:
@@ -52,9 +55,10 @@ def map_to_string(m: Column) -> Column:
 def string_to_map(s: Column) -> Column:
     """MAP-2 (I): null if a part has no colon or a bad escape; a final comma is allowed, and of
     repeated keys the first counts. The original leaves its map partly filled when it fails."""
-    item = r"((?:[^\\:]|\\.)*):((?:[^\\,]|\\.)*)(?:,|\z)"
-    whole = s.rlike(r"(?s)^(?:(?:[^\\:]|\\[,:\\])*:(?:[^\\,]|\\[,:\\])*(?:,|\z))*\z")
-    pattern = F.lit(f"(?s){item}")
-    keys, values = (F.transform(F.regexp_extract_all(s, pattern, F.lit(k)), unescaped) for k in (1, 2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    item = r"(?:[^\\:]++|\\[,:\\])*+:(?:[^\\,]++|\\[,:\\])*+(?:,|\z)"
+    whole = s.rlike(rf"(?s)^(?:{item})*+\z")
+    # A part is taken out once and then cut at its first colon without a backslash.
+    parts = F.regexp_extract_all(s, F.lit(f"(?s){item}"), F.lit(0))
+    cut = r"(?s)^((?:[^\\:]++|\\.)*+):((?:[^\\,]++|\\.)*+),?\z"
+    pairs = F.transform(parts, lambda p: F.struct(*(F.regexp_replace(F.regexp_extract(p, cut, k), r"\\([,:\\])", "$1").alias(n) for k, n in ((1, "key"), (2, "value")))))
     return F.when(whole, first_wins(pairs))

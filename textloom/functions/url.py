@@ -6,6 +6,8 @@ or odd characters still have parts. A missing part is null; a text without a sch
 
 from __future__ import annotations
 
+import re
+
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -152,19 +154,16 @@ def domain_of_host(name: Column, rules: tuple[tuple[str, int], ...] = RULES) ->
     The longest rule that fits decides, an exception before all; a name that no rule knows has its
     last label as registry. The rules are literals, for lists up to some hundred; see ``join_domains``.
     """
-    plain, wild, except_ = ([r for r, k in rules if k == kind] for kind in (0, 2, 1))
-    labels = F.split(ascii_lower(name), r"\.", -1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct(n.alias("n"), _suffix(labels, n).alias("name")))
-
-    def longest(names: list[str], more: int) -> Column:
-        if not names:
-            return F.lit(0)
-        fits = F.filter(ends, lambda e: e["name"].isin(*names) & (e["n"] + more <= F.size(labels)))
-        return F.coalesce(F.array_max(F.transform(fits, lambda e: e["n"])) + more, F.lit(0))
-
-    exception = longest(except_, 0)
-    registry = F.when(exception > 0, exception - 1).otherwise(F.greatest(longest(plain, 0), longest(wild, 1), F.lit(1)))
-    return F.when(~is_ip(name) & (F.size(labels) > registry), _suffix(labels, registry + 1))
+    plain, wild, except_ = ("|".join(re.escape(r) for r, k in rules if k == kind) for kind in (0, 2, 1))
+    low = ascii_lower(name)
+    # A search takes the match that begins first, so the longest rule; the last label is always one.
+    ends = [rf"[^.]*\.(?:{wild})"] * bool(wild) + [plain] * bool(plain) + ["[^.]*"]
+    registry = F.regexp_extract(low, rf"(?:^|\.)({'|'.join(ends)})\z", 1)
+    if except_:
+        exception = F.regexp_extract(low, rf"(?:^|\.)((?:{except_}))\z", 1)
+        registry = F.when(exception != "", F.regexp_replace(exception, r"^[^.]*\.?", "")).otherwise(registry)
+    front = F.left(low, F.length(low) - F.length(registry) - 1)
+    return F.when(~is_ip(name) & (F.length(low) > F.length(registry)), F.concat(F.substring_index(front, ".", -1), F.lit("."), registry))
 
 
 def domain(url: Column, rules: tuple[tuple[str, int], ...] = RULES) -> Column:
