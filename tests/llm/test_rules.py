@@ -284,3 +284,19 @@ def test_rules_are_checked(spark):
         url_filter.judged(spark.createDataFrame([(1, "")], "page_id long, url string"), rules=[("com", "block")])
 
 
+@pytest.mark.parametrize("limit", [url_filter.MOST_BYTES, 0])
+@pytest.mark.parametrize("as_table", [True, False])
+def test_lists_judge_alike_below_and_above_the_bound(spark, monkeypatch, limit, as_table):
+    """Upper-case, empty and null hosts, repeated rules and a long path, whichever way the lists travel."""
+    monkeypatch.setattr(url_filter, "MOST_BYTES", limit)
+    hosts = ["Spam.EXAMPLE", "spam.example", None, "", "a.example/x"]
+    blocked = spark.createDataFrame([(h,) for h in hosts], "host string") if as_table else hosts
+    rules = [("ok.example/en/", "block"), ("ok.example/en/", "allow"), ("spam.example/good/", "allow"), ("ok.example/en/bad", "block")]
+    long = "http://ok.example/en/" + "y" * 100_000
+    urls = ["http://www.SPAM.example/", "http://spam.example/good/1", "http://ok.example/en/1", "http://ok.example/en/bad", long, "http://a.example/x", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged(pages, rules=rules, blocked=blocked).collect()}
+    assert got == {
+        0: (None, "block"), 1: ("spam.example/good/", "allow"), 2: ("ok.example/en/", "allow"), 3: ("ok.example/en/bad", "block"),
+        4: ("ok.example/en/", "allow"), 5: (None, "allow"), 6: (None, "allow"),
+    }

@@ -12,16 +12,19 @@ Defined results
 ---------------
 * A null URL, or one without ``://``, has an empty host and path; it fits no rule and is allowed.
 * Hosts are lower-cased for A-Z only, and keep a port or user name that stands in them.
-* A block list is a sequence of hosts or a table with a column ``host`` (``host_list``: there nulls, empty
-  names and names with a slash, ``?`` or ``#`` stand for no host and are left out, repeated ones count once).
+* A block list is a sequence of hosts or a table with a column ``host``. In both, A-Z are lower-cased, nulls,
+  empty names and names with a slash, ``?`` or ``#`` stand for no host and are left out, and repeated ones count
+  once. Hosts of rules are taken as they stand.
 * Repeated rules: the last one's verdict holds. An empty rule list or table works as expected.
-* Repeated rows are judged alike; other columns are never read.
+* Repeated rows are judged alike; other columns are never read. URLs of any length are judged whole: a URL has
+  as many keys as its host has ends times the different lengths of the rules' paths.
 
 At scale
 --------
 No shuffle. The index travels as one broadcast whose size is checked (``MOST_BYTES``); each Python
-worker writes it to an unlinked temporary file of its own and maps it. A table is measured first, and comes to
-the driver only below that bound. A longer list is applied by ``joined``, which explodes each URL's candidate
+worker writes it to an unlinked temporary file of its own and maps it. A table of hosts is digested and sorted by
+Spark, measured first, and comes to the driver as Arrow columns only below that bound; there it is laid out
+without a Python object a host. A longer list is applied by ``joined``, which explodes each URL's candidate
 keys and joins the list as a table.
 """
 
@@ -33,6 +36,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 BLOCKED = ("spam-farm.example.org", "cheap-pills.example.com")
 #: Bound on the broadcast index.
-MOST_BYTES = 256 << 20
+MOST_BYTES = 64 << 20
 
 
 class DigestArray:
@@ -60,10 +65,18 @@ class DigestArray:
 
     @staticmethod
     def packed(items: Iterable[tuple[str, int]], digest=xxhash.xxh64_intdigest) -> bytes:
-        rows = sorted((digest(k), k, v) for k, v in {k.encode(): v for k, v in items}.items())
-        ends = np.cumsum([len(k) for _, k, _ in rows], dtype=np.uint64)
-        head = [np.array([len(rows)], np.uint64), np.array([d for d, _, _ in rows], np.uint64), ends]
-        return b"".join([*(x.tobytes() for x in head), bytes(v for _, _, v in rows), *(k for _, k, _ in rows)])
+        rows = [(digest(k), k, v) for k, v in {k.encode(): v for k, v in items}.items()]
+        return DigestArray.sorted(np.array([d for d, _, _ in rows], np.uint64), pa.array([k for _, k, _ in rows], pa.large_binary()), np.array([v for _, _, v in rows], np.uint8))
+
+    @staticmethod
+    def sorted(digests: np.ndarray, strings: pa.LargeBinaryArray, values: np.ndarray) -> bytes:
+        """Different strings, their digests and values, laid out in the order of the digests."""
+        order = np.argsort(digests, kind="stable")
+        own = strings.take(pa.array(order))
+        ends = np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.uint64), dtype=np.uint64)
+        text = np.frombuffer(own.buffers()[2] or b"", np.uint8)[: int(ends[-1]) if len(ends) else 0]
+        head = [np.array([len(order)], np.uint64), digests[order].astype(np.uint64), ends, values[order].astype(np.uint8)]
+        return b"".join(x.tobytes() for x in (*head, text))
 
     @classmethod
     def mapped(cls, packed: bytes) -> "DigestArray":
@@ -112,7 +125,7 @@ def lowered(host: Column) -> Column:
 
 
 def host_list(blocked: DataFrame, host_col: str = "host") -> DataFrame:
-    """The different hosts of a table, A-Z lower-cased, as a column ``rule``."""
+    """The different hosts of a table, A-Z lower-cased, as a column ``rule``; see the module's defined results."""
     rules = blocked.select(lowered(F.col(f"`{host_col}`")).alias("rule"))
     return rules.filter((F.col("rule") != "") & ~F.col("rule").rlike("[/?#]")).distinct()
 
@@ -159,25 +172,41 @@ class UrlJudge:
         return rules, verdicts
 
 
+def packed_lists(hosts: DataFrame, rules: list[tuple[str, str]]) -> bytes:
+    """The digest array of both lists; hosts are digested in tasks and come here as columns."""
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [x.as_py() for x in batch.column(0).cast(pa.binary())]
+            digests = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(own, pa.binary())], ["digest", "key"])
+
+    found = hosts.select("rule").mapInArrow(digested, "digest long, key binary").toArrow()
+    names = [r.encode() for r, _ in rules]
+    digests = np.concatenate((found["digest"].to_numpy().view(np.uint64), np.array([xxhash.xxh64_intdigest(r) for r in names], np.uint64)))
+    keys = pa.concat_arrays([c.cast(pa.large_binary()) for c in (*found["key"].chunks, pa.array(names, pa.binary()))])
+    values = np.array([2] * found.num_rows + [int(v == "block") for _, v in rules], np.uint8)
+    return DigestArray.sorted(digests, keys, values)
+
+
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocked=BLOCKED) -> DataFrame:
     """Each page's id, host, path, the rule that fits (or null) and the verdict. ``blocked`` is a sequence of
     hosts, or a table that has them as ``host``."""
     bad = [r for r, v in rules if "/" not in r or v not in ("allow", "block")]
     if bad:
         raise ValueError(f"a rule is a host, a path from its first slash on, and allow or block: {bad}")
-    if isinstance(blocked, DataFrame):
-        hosts = host_list(blocked)
-        size = hosts.agg(F.sum(F.octet_length("rule") + F.lit(17))).first()[0] or 0
-        if size > MOST_BYTES:
-            own = pages.sparkSession.createDataFrame(list(dict(rules).items()), "rule string, verdict string")
-            return joined(pages, hosts.withColumn("verdict", F.lit("host")).unionByName(own), id_col, url_col)
-        blocked = hosts.toArrow()["rule"].to_pylist()
-    packed = DigestArray.packed([*((h, 2) for h in blocked), *((r, int(v == "block")) for r, v in rules)])
-    if len(packed) > MOST_BYTES:
-        spark = pages.sparkSession
-        return joined(pages, spark.createDataFrame([*rules, *((h, "host") for h in blocked)], "rule string, verdict string"), id_col, url_col)
+    spark = pages.sparkSession
+    rules = list(dict(rules).items())
     lengths = tuple(sorted({len(r) - r.index("/") for r, _ in rules}))
-    shared = pages.sparkSession.sparkContext.broadcast(packed)
+    if not isinstance(blocked, DataFrame):
+        blocked = spark.createDataFrame([(h,) for h in blocked], "host string")
+    hosts = host_list(blocked)
+    size = hosts.agg(F.sum(F.octet_length("rule") + F.lit(17))).first()[0] or 0
+    if size + sum(len(r.encode()) + 17 for r, _ in rules) > MOST_BYTES:
+        own = spark.createDataFrame(rules, "rule string, verdict string")
+        return joined(pages, hosts.withColumn("verdict", F.lit("host")).unionByName(own), lengths, id_col, url_col)
+    packed = packed_lists(hosts, rules)
+    shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("rule string, verdict string")
     def verdict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -191,16 +220,17 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     return out.select(id_col, "host", "path", "found.rule", "found.verdict")
 
 
-def joined(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The same verdicts by a join, for lists of any size: ``rules`` has rule and verdict (allow,
-    block, or host for a blocked host). Rows are told apart by their content, so that repeated ids
-    are judged one by one."""
+def joined(pages: DataFrame, rules: DataFrame, lengths: Iterable[int], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The same verdicts by a join, for lists of any size: ``rules`` has different rules and their verdicts (allow,
+    block, or host for a blocked host), ``lengths`` the lengths of their paths. Rows are told apart by their
+    content, so that repeated ids are judged one by one."""
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     urls = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
+    own = F.filter(F.array(*map(F.lit, sorted({0, *lengths}))), lambda k: k <= F.length("path"))
+    starts = F.transform(own, lambda k: F.left(F.col("path"), k))
     keys = urls.select("host", "path", F.explode(F.filter(ends, lambda x: x != "")).alias("end"), starts.alias("starts"))
     keys = keys.select("host", "path", "end", F.explode("starts").alias("start")).select("host", "path", F.concat("end", "start").alias("rule"))
     hit = keys.join(rules, "rule").groupBy("host", "path").agg(
