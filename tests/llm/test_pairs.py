@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import near_dedup, substring_dedup
@@ -147,3 +148,13 @@ def test_recall_on_planted_pairs(spark):
     lost = [i for i in planted if found[i + 1] != i]
     wrong = [i for i in planted if found[i] != i or found[i + 1] not in (i, i + 1)]
     assert not wrong and len(lost) <= 1, (len(wrong), len(lost))
+
+
+def test_compared_already_takes_all_bits_of_a_coordinate():
+    """Two roots that agree in 16 bits of 32 are two nodes, so their pair still has to be compared."""
+    sig = np.arange(near_dedup.COORDINATES, dtype=np.uint16).tobytes()
+    for high, pairs in (((1, 1), []), ((1, 2), [(0, 1), (1, 0)])):
+        columns = {"node": [7, 7], "at": [1, 1], "digest": [b"a", b"b"], "label": [b"a", b"b"], "size": [2, 2], "n": [90, 90], "mask": [1, 1]}
+        table = pa.table(columns | {"high": [np.array([h, 5], np.uint16).tobytes() for h in high], "sig": [sig, sig]})
+        x, y = near_dedup.Node(table, 75).similar(np.arange(2), np.arange(2))
+        assert sorted(zip(x.tolist(), y.tolist())) == pairs

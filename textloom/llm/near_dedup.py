@@ -175,6 +175,7 @@ class Node:
     def __init__(self, table: pa.Table, percent: int):
         self.digests = table.column("digest").to_pylist()
         self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+        self.high = np.frombuffer(b"".join(table.column("high").to_pylist()), np.uint16).reshape(len(self.sig), -1)
         self.n, self.mask = (table.column(c).to_numpy() for c in ("n", "mask"))
         self.label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1]
         self.key, self.at = table.column("node")[0].as_py(), table.column("at")[0].as_py()
@@ -196,8 +197,9 @@ class Node:
                 stays = (self.early[a] == early[b]).sum(axis=1, dtype=np.int16) >= self.first
                 a, b = a[stays], every[b[stays]]
                 agree = self.sig[a] == self.sig[b]
-                # Compared already where both agree on an earlier coordinate whose node is small.
-                done = (agree[:, : self.at] & ((self.mask[a, None] >> np.arange(self.at)) & 1).astype(bool)).any(axis=1) if self.at else np.zeros(len(a), bool)
+                # Compared already where both agree on an earlier coordinate, in all its bits, whose node is small.
+                same = agree[:, : self.at] & (self.high[a, : self.at] == self.high[b, : self.at])
+                done = (same & ((self.mask[a, None] >> np.arange(self.at)) & 1).astype(bool)).any(axis=1)
                 stays = (agree.sum(axis=1, dtype=np.int16) >= self.least) & ~done
                 xs.append(a[stays])
                 ys.append(b[stays])
@@ -406,7 +408,7 @@ class Join:
             a, b = zip(*sorted(found)) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["group", "digest"])
 
-        full = nodes.join(masks, "digest").select("node", "at", "digest", "label", "size", "n", "mask", "sig")
+        full = nodes.join(masks, "digest").select("node", "at", "digest", "label", "size", "n", "mask", "high", "sig")
         n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = full.repartition(n, "node").sortWithinPartitions("node")
         return dealt.mapInArrow(compare, "group long, digest binary").distinct()
@@ -454,7 +456,8 @@ class Join:
         component's least row."""
         nodes = self.roots()
         small = F.bit_or(F.when(F.col("size") <= SMALL, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).otherwise(F.lit(0).cast("long")))
-        masks = nodes.groupBy("digest").agg(small.alias("mask")).join(self.classes.select("digest", "n", "sig"), "digest")
+        high = F.concat(*(F.substr("tokens", F.lit(4 * i + 3), F.lit(2)) for i in range(self.coordinates)))
+        masks = nodes.groupBy("digest").agg(small.alias("mask")).join(self.classes.select("digest", "n", high.alias("high"), "sig"), "digest")
         self.confirm(checkpointed(self.alike(self.first_nodes(nodes), masks, star=True)))
         self.confirm(checkpointed(self.alike(self.later_nodes(nodes), masks, star=False)))
         own = self.classes.select("digest", "first", "rows")
