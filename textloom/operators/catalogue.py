@@ -822,7 +822,8 @@ _WRITTEN = ("utf-8", "latin_1", "cp850", "mac_roman", "cp500", "utf-16-le", "utf
 )
 def recoded_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHS-1: whole texts written in eight charsets by turns, and the charset found for each from its bytes alone
-    (of charsets that read the same text, the first)."""
+    (of charsets that read the same text, the first). The SQL says what was written; a text of a few letters can
+    read as usual in another charset, and is then told wrong."""
     docs = table(spark, sf_dir, "documents")
     name = F.element_at(F.array(*map(F.lit, _WRITTEN)), (F.col("doc_id") % 8 + 1).cast("int"))
     model = charsets.fitted(docs.select("text"))
