@@ -41,6 +41,16 @@ def test_text_that_the_model_has_not_seen(spark):
     assert sum(r["name"] == r["charset"] for r in seen) >= 9
 
 
+def test_letters_are_told_by_what_stands_around_them(spark):
+    """A capital begins a text or a sentence, and an accented letter suits its word: cp850 and mac_roman read the same byte as either."""
+    texts = ["Éaux. Étre la. Êaux.", "pas êaux, la êaux, des êaux.", "von äeinsch, den Häeinsch.", "une mèere, la fèeu, la crèe, la grèe, la trèe."]
+    model = charsets.fitted(spark.createDataFrame([(t,) for t in texts], "text string"))
+    given = [("cp850", "Éaux."), ("mac_roman", "pas êaux."), ("mac_roman", "den äeinsch."), ("utf-8", "üü üü üü üü")]
+    rows = spark.createDataFrame(given, "name string, text string").select("name", charsets.encoded(F.col("text"), F.col("name")).alias("data"))
+    seen = rows.select("name", charsets.detected(spark, model, F.col("data"), ("utf-8", "cp850", "mac_roman"))["charset"].alias("charset"))
+    assert [r["charset"] for r in seen.collect()] == [n for n, _ in given]
+
+
 def test_marks_nulls_and_what_fits_nothing(spark):
     model = charsets.fitted(spark.createDataFrame([(None,), ("",), ("plain text",)], "text string"))
     data = spark.createDataFrame([(0, b"\xef\xbb\xbfx"), (1, b"\xff\xfex\0"), (2, None), (3, b"\xff\xff"), (4, b""), (5, b"plain")], "k int, data binary")

@@ -1,14 +1,14 @@
 """CHS-1: the charset of bytes, by whether they are well formed in it and how usual the text is that they give.
 
-The model counts characters, and pairs of neighbouring ones, in given texts; it holds for every charset, since
-bytes are read before they are scored. A candidate is out if the bytes are not well formed in it. Of the others
-the one wins whose text has the highest mean log probability of a pair, which is mixed from the pair's own share
-and that of its characters; equal ones (the same text, mostly) are told apart by the order of the candidates. A
-byte order mark decides before all.
-
-At scale: a task counts into two arrays of ``PLACES`` numbers and emits what it met, so that at most twice as
-many rows a task are shuffled and come to the driver, whatever the corpus. Characters and pairs share a place by
-their hash; there are some thousand different pairs for a script with letters.
+The model counts characters, pairs and triples of neighbouring ones in given texts, with a mark at both ends; it holds for every
+charset, since bytes are read before they are scored. A candidate is out if the bytes are not well formed in it. Of the others
+the one wins whose text has the highest probability, each character's being that after the two before it, which falls back on that
+after the one before and on its own share. All candidates account for the same bytes, so probabilities of whole texts compare, whatever
+their lengths; equal ones (the same text, mostly) are told apart by the order of the candidates. A byte order mark decides before all.
+
+At scale: a task counts into one array of ``SIZE`` numbers and emits what it met, so that at most as
+many rows a task are shuffled and come to the driver, whatever the corpus. What shares a place by its hash counts together, but a
+pair never more than its characters, nor a triple more than its pairs, so hardly anything that was not met counts as met.
 """
 
 from __future__ import annotations
@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Places of the table of characters, and of that of pairs.
-PLACES = 1 << 16
-#: The part of a pair's own share in its probability.
-OWN = 0.75
+#: Places of the table of characters; binary digits of those of the tables of pairs and of triples; places of all.
+PLACES, DIGITS = 1 << 16, 18
+SIZE = PLACES + (2 << DIGITS)
+#: As how many occurrences of a context the estimate from a shorter one counts.
+SHORTER = 4.0
+#: What stands before and after a text.
+EDGE = "\x02"
 #: Candidates, in the order that decides between equal scores. Fixed values.
 CANDIDATES = (
     "utf-8", "gb18030", "big5", "euc_jp", "shift_jis", "euc_kr", "latin_1", "iso8859_2", "cp1251", "koi8_r", "iso8859_7", "cp1255", "tis_620",
@@ -36,12 +39,19 @@ CANDIDATES = (
 MARKS = ((codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
-def places(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The places of a text's characters, with a blank before and after it, and of their pairs."""
-    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    mixed = (points[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (points[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    pairs = (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
-    return points.astype(np.int64) % PLACES, pairs.astype(np.int64) % PLACES
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """The first ``DIGITS`` binary digits of a hash of 64 bits (the finalizer of splitmix)."""
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((keys ^ (keys >> np.uint64(31))) >> np.uint64(64 - DIGITS)).astype(np.int64)
+
+
+def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of a text's characters, with two marks before and one after it, of their pairs and of their triples."""
+    points = np.frombuffer(f"{EDGE}{EDGE}{text}{EDGE}".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    two = (points[:-1] << np.uint64(21)) | points[1:]
+    three = (two[:-1] << np.uint64(21)) | points[2:]
+    return points.astype(np.int64) % PLACES, PLACES + _mixed(two), PLACES + (1 << DIGITS) + _mixed(three)
 
 
 def encoded(text: Column, name: Column) -> Column:
@@ -55,16 +65,15 @@ def encoded(text: Column, name: Column) -> Column:
 
 
 def place_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(place, n)`` of all texts: characters in the first ``PLACES``, then pairs; nulls count as no text."""
+    """``(place, n)`` of all texts: characters, then pairs, then triples; nulls count as no text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * PLACES, np.int64)
+        counts = np.zeros(SIZE, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    chars, pairs = places(text.as_py())
-                    np.add.at(counts, chars, 1)
-                    np.add.at(counts, PLACES + pairs, 1)
+                    for found in places(text.as_py()):
+                        np.add.at(counts, found, 1)
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], ["place", "n"])
 
@@ -72,30 +81,29 @@ def place_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fitted(texts: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The shares of characters (first row) and of pairs (second), see ``shares``."""
-    counts = np.zeros(2 * PLACES)
+    """The counts of all places, then the number of all characters and that of their kinds."""
+    counts = np.zeros(SIZE + 2)
     met = place_counts(texts, text_col).toArrow()
     counts[met["place"].to_numpy()] = met["n"].to_numpy()
-    return shares(counts)
-
-
-def shares(counts: np.ndarray) -> np.ndarray:
-    """Counts as shares. As many more as there are different places met, and one, are spread over all places: the
-    more kinds a script has, the likelier is one that was not met."""
-    counts = counts.reshape(2, PLACES)
-    kinds = (counts > 0).sum(axis=1, keepdims=True) + 1
-    return (counts + kinds / PLACES) / (counts.sum(axis=1, keepdims=True) + kinds)
+    counts[SIZE:] = counts[:PLACES].sum(), np.count_nonzero(counts[:PLACES])
+    return counts
 
 
 def likely(text: str, model: np.ndarray) -> float:
-    """The mean log probability of a text's pairs."""
-    chars, pairs = places(text)
-    single = model[0][chars]
-    return float(np.log2(OWN * model[1][pairs] + (1 - OWN) * single[:-1] * single[1:]).mean())
+    """The logarithm of a text's probability. As many characters more as there are different ones, and one, are spread over all
+    places: the more kinds a script has, the likelier is one that was not met."""
+    one, two, three = (model[x] for x in places(text))
+    two = np.minimum(two, np.minimum(one[:-1], one[1:]))
+    three = np.minimum(three, np.minimum(two[:-1], two[1:]))
+    total, kinds = model[SIZE], model[SIZE + 1] + 1
+    share = (one[2:] + kinds / PLACES) / (total + kinds)
+    share = (two[1:] + SHORTER * share) / (one[1:-1] + SHORTER)
+    share = (three + SHORTER * share) / (two[:-1] + SHORTER)
+    return float(np.log2(share).sum())
 
 
 def scores(data: bytes, model: np.ndarray, candidates: Sequence[str] = CANDIDATES) -> list[float | None]:
-    """Each candidate's mean log probability of a pair; none where the bytes are not well formed in it."""
+    """Each candidate's log probability by byte; none where the bytes are not well formed in it."""
     out: list[float | None] = []
     for name in candidates:
         try:
@@ -103,12 +111,12 @@ def scores(data: bytes, model: np.ndarray, candidates: Sequence[str] = CANDIDATE
         except UnicodeDecodeError:
             out.append(None)
             continue
-        out.append(likely(text, model))
+        out.append(likely(text, model) / max(1, len(data)))
     return out
 
 
 def detected(spark: SparkSession, model: np.ndarray, data: Column, candidates: Sequence[str] = CANDIDATES) -> Column:
-    """``struct(charset, score, margin)`` of bytes: the winner, its mean score and its lead over the best charset
+    """``struct(charset, score, margin)`` of bytes: the winner, its score and its lead over the best charset
     that reads another text (null: there is none). Nulls, and bytes that fit no candidate, give nulls; so do scores
     under a byte order mark."""
     shared = spark.sparkContext.broadcast(model)
