@@ -65,6 +65,15 @@ def test_deep_and_long_pages(spark):
     assert found(spark, [deep, "<p>" + "y" * 200_000]) == [(0, 300, "/".join(["i"] * 300), "x"), (1, 1, "", "y" * 200_000)]
 
 
+def test_tasks_grow_with_the_pages(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "<p>" + "x" * 400 + "</p>") for i in range(50)], "page_id long, html string")
+    monkeypatch.setattr(html, "TASK_BYTES", 1000)
+    tasks = html.tasks_of(pages)
+    assert tasks == 21 and html.tasks_of(pages.limit(0)) == 3
+    assert html.placed(html.tokens(pages), tasks).rdd.getNumPartitions() == tasks
+    assert sorted(tuple(r) for r in html.texts(pages).collect()) == [(i, 1, "p", "x" * 400) for i in range(50)]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert html.texts(empty).collect() == [] and html.links(empty).collect() == []

@@ -8,12 +8,15 @@ Rules for tags that do not fit together
 * Of elements that cross each other, as in ``<b><i></b></i>``, neither contains anything.
 * A ``<`` that begins no tag is text. Null and empty pages have no rows. Ids tell the pages apart.
 
-At scale: one shuffle by id carries the tokens; every window is inside a page, whose tokens came from one
-cell. Paths are made by doubling along the elements' parents, in as many rounds as the depth has binary digits.
+At scale: one shuffle by id carries the tokens, in as many tasks as the pages have ``TASK_BYTES``, so that a task takes as much whatever
+the input; every window is inside a page, whose tokens came from one cell. Only elements, and the rows that are asked for, get paths.
+These are made by doubling along the elements' parents, in as many rounds as the depth has binary digits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ from textloom.plans.lineage import checkpointed
 #: Elements that never have an end. Fixed values.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
+#: Bytes of pages that a task takes, about.
+TASK_BYTES = 4 << 20
+
 _TOKEN = "|".join((
     r"<!--[\s\S]*?(?:-->|\z)",
     r"<(?i:script)\b[^>]*>[\s\S]*?(?:</(?i:script)[^>]*>|\z)",
@@ -60,12 +66,18 @@ def _paired(df: DataFrame, level: str, *keys: str) -> Column:
     return F.coalesce(F.when(kind == "start", after).when(kind == "end", before), F.lit(False))
 
 
-def placed(found: DataFrame) -> DataFrame:
+def tasks_of(pages: DataFrame, html_col: str = "html") -> int:
+    """In how many tasks the tokens go: one for ``TASK_BYTES`` of the pages, and not fewer than the session's."""
+    size = pages.agg(F.sum(F.octet_length(F.col(f"`{html_col}`")).cast("long")).alias("n")).first()["n"] or 0
+    return max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+
+
+def placed(found: DataFrame, tasks: int) -> DataFrame:
     """``tokens`` with ``level``, the number of elements around each, and ``parent``, the place of the
     innermost one (null outside all); ``opens`` marks the starts of elements that contain something."""
     kind = F.col("kind")
     way = F.when(kind == "start", 1).when(kind == "end", -1).otherwise(0)
-    rows = found.repartition("id").withColumn("way", way)
+    rows = found.repartition(tasks, "id").withColumn("way", way)
     # Parentheses of each name; an end below all before it has no start.
     rows = rows.withColumn("sum", _running(F.col("way"), "id", "name"))
     least = F.least(F.lit(0), F.min("sum").over(Window.partitionBy("id", "name").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
@@ -87,18 +99,20 @@ def placed(found: DataFrame) -> DataFrame:
     return rows.select("id", "at", "kind", "name", "token", "level", "opens", "parent")
 
 
-def with_paths(rows: DataFrame) -> DataFrame:
-    """``placed`` rows with ``path``: the names of the elements around them, from the root; "" outside all."""
-    rows = checkpointed(rows)
+def with_paths(rows: DataFrame, wanted: Column, tasks: int) -> DataFrame:
+    """The ``wanted`` of the ``placed`` rows with ``path``: the names of the elements around them, from the root; "" outside all."""
+    rows = rows.withColumn("wanted", wanted).where("wanted or opens")
+    rows = checkpointed(rows.select("id", "at", "name", "opens", "parent", "wanted", F.when(F.col("wanted"), F.col("token")).alias("token")))
     made = rows.where("opens").select("id", "at", "name", F.col("parent").alias("up"), F.col("name").alias("path"))
     while True:
         above = made.select("id", F.col("at").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
-        joined = made.join(above, ["id", "up"], "left")
+        joined = made.repartition(tasks, "id", "up").join(above.repartition(tasks, "id", "up"), ["id", "up"], "left")
         made = checkpointed(joined.select("id", "at", "name", F.col("next").alias("up"), F.concat_ws("/", "front", "path").alias("path")))
         if made.where("up is not null").isEmpty():
             break
-    paths = made.select("id", F.col("at").alias("parent"), "path")
-    return rows.join(paths, ["id", "parent"], "left").withColumn("path", F.coalesce("path", F.lit("")))
+    paths = made.select("id", F.col("at").alias("parent"), "path").repartition(tasks, "id", "parent")
+    found = rows.where("wanted").repartition(tasks, "id", "parent").join(paths, ["id", "parent"], "left")
+    return found.withColumn("path", F.coalesce("path", F.lit("")))
 
 
 def plain(text: Column) -> Column:
@@ -110,7 +124,8 @@ def plain(text: Column) -> Column:
 
 def texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, at, path, text)`` of every text that is not blank."""
-    rows = with_paths(placed(tokens(pages, id_col, html_col))).where("kind = 'text'")
+    tasks = tasks_of(pages, html_col)
+    rows = with_paths(placed(tokens(pages, id_col, html_col), tasks), F.col("kind") == "text", tasks)
     return rows.select(F.col("id").alias(id_col), "at", "path", plain(F.col("token")).alias("text")).where("text <> ''")
 
 
@@ -118,5 +133,7 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """``(id, at, path, href)`` of every ``a`` that has an ``href``, in any quotes or none."""
     found = F.col("token").rlike(r"(?i)\shref\s*=")
     href = F.coalesce(*(F.nullif(F.regexp_extract("token", rf"(?i)\shref\s*=\s*{p}", 1), F.lit("")) for p in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'>]+)""")), F.lit(""))
-    rows = with_paths(placed(tokens(pages, id_col, html_col))).where((F.col("name") == "a") & F.col("kind").isin("start", "void") & found)
+    wanted = F.coalesce((F.col("name") == "a") & F.col("kind").isin("start", "void") & found, F.lit(False))
+    tasks = tasks_of(pages, html_col)
+    rows = with_paths(placed(tokens(pages, id_col, html_col), tasks), wanted, tasks)
     return rows.select(F.col("id").alias(id_col), "at", "path", href.alias("href"))
