@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,28 @@ def test_groups():
     assert patterns.required("a.c") == patterns.required("(abc|d)") == patterns.required(r"\p{L}abc") == patterns.required("abc)") == []
 
 
+def test_first_bytes_are_found_in_their_own_texts(monkeypatch):
+    monkeypatch.setattr(patterns, "AT_ONCE", 5)
+    known = patterns.Literals([(7, 0, "abc"), (7, 1, "long literal"), (7, 1, "été"), (9, 0, "abcde"), (9, 0, "xyz"), (9, 1, "abc"), (9, 0, "long literally")])
+    texts = ["abc", "abcde", "ab", "c long literal abc", "", "abété", "étéabc", "xyz", "abc xyz", "ab"]
+    data = np.frombuffer("".join(texts).encode() + bytes(8), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    text, pattern = known.candidates(data, ends, known.first())
+    assert list(zip(text.tolist(), pattern.tolist())) == [(1, 9), (3, 7), (6, 7), (8, 9)]
+    assert list(patterns._slices(np.array([1, 1, patterns.TOGETHER + 9, patterns.TOGETHER + 10]))) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_texts_stay_in_their_partitions(spark, monkeypatch):
+    """Only found pairs are shuffled; literals too many to be sent are joined to grams, with the same rows."""
+    docs = spark.createDataFrame([(1, "Hello there"), (2, "nothing"), (2, "where hello"), (3, "HELLLO")], "id int, text string")
+    rules = spark.createDataFrame([(1, "(?i)hel+o"), (1, "nothing"), (2, "there|where")], "pattern_id int, pattern string")
+    found = patterns.matches(docs, rules)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(patterns, "BROADCAST_BYTES", 0)
+    assert rows == sorted(map(tuple, patterns.matches(docs, rules).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)]
+
+
 def test_matches_equal_a_product(spark):
     rng = random.Random(4)
     words = ["hello", "HELLO world", "foolding", "fooling", "barbaz", "aaabbcde", "xbyz", "two fourfive", "color", "start", "end", "12 items", "item77", "very very long", "unxone", "abc", "zz", "cafés", "ééts étés", "straße",
