@@ -208,6 +208,16 @@ def test_conversion_lists_and_paths(spark):
     assert one(spark, misc.relative_path(F.lit("a"), F.lit("a"))) == "."
 
 
+def test_few_texts_are_strings_at_once(spark, monkeypatch):
+    """A batch becomes Python strings in small parts, and texts of ASCII alone are not sent to Python."""
+    monkeypatch.setattr(unicode, "AT_ONCE", 2)
+    texts = ["é", None, "plain", "ñu", "", "ü", "ÀÉ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    made = df.select(unicode.normalized(F.col("t"), "NFD").alias("t"))
+    assert [r[0] for r in made.collect()] == [None if t is None else unicodedata.normalize("NFD", t) for t in texts]
+    assert "octet_length(t" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unicode(spark):
     apart = "Zürich ﬁn é"
     df = spark.createDataFrame([(apart,), ("plain",), ("",), (None,)], "t string")

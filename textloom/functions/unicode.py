@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
+#: Texts of a batch that are Python strings at the same time.
+AT_ONCE = 64
 
 
 def normalized(s: Column, form: str = "NFC") -> Column:
@@ -17,11 +19,17 @@ def normalized(s: Column, form: str = "NFC") -> Column:
     if form not in FORMS:
         raise ValueError(f"no normal form: {form}")
 
-    @F.pandas_udf(T.StringType())
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else x if x.isascii() else unicodedata.normalize(form, x) for x in values], dtype=object)
-
-    return run(s)
+    @F.arrow_udf(T.StringType())
+    def run(values: pa.Array) -> pa.Array:
+        parts = [pa.array([], values.type)]
+        for i in range(0, len(values), AT_ONCE):
+            texts = values.slice(i, AT_ONCE).to_pylist()
+            parts.append(pa.array([None if x is None else unicodedata.normalize(form, x) for x in texts], values.type))
+        return pa.concat_arrays(parts)
+
+    # A text of ASCII alone is its own normal form and is not sent.
+    ascii_only = F.octet_length(s) == F.char_length(s)
+    return F.when(ascii_only, s).otherwise(run(F.when(~ascii_only, s)))
 
 
 def without_marks(s: Column) -> Column:
