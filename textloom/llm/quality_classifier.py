@@ -97,11 +97,11 @@ def context_sums(texts: list[str], index: np.ndarray, total: np.ndarray) -> None
     both = np.concatenate(parts)
     letters = np.where(both == gap, BUCKETS, both // BUCKETS)
     shapes = np.where(both == gap, BUCKETS, both % BUCKETS)
-    for own, other in ((letters, shapes), (shapes, letters)):
-        for d in range(DIMS):
-            column = index[:, d]
-            near = column[own].astype(np.float64)
-            around = column[other].astype(np.float64)
+    for d in range(DIMS):
+        column = index[:, d].astype(np.float64)  # a copy in one piece, whose numbers need no conversion after the lookup
+        of_letters, of_shapes = column[letters], column[shapes]
+        for own, near, other in ((letters, of_letters, of_shapes), (shapes, of_shapes, of_letters)):
+            around = other.copy()
             around[1:] += near[:-1]
             around[:-1] += near[1:]
             total[:, d] += np.bincount(own, around, BUCKETS + 1).astype(np.int64)
