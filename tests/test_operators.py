@@ -260,3 +260,45 @@ def test_strong_parts_against_reachability(spark):
         assert {r["node"]: r["part"] for r in graph.strong_parts(edges).collect()} == expected
     chain = spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")
     assert graph.strong_parts(chain).collect() == [] == graph.strong_parts(chain.limit(0)).collect()
+
+
+def _rounds(monkeypatch, edges):
+    kept = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df, real=graph.checkpointed: kept.append(real(df)) or kept[-1])
+    return {r["node"]: r["part"] for r in graph.strong_parts(edges).collect()}, kept
+
+
+def test_strong_parts_are_coloured_both_ways_at_once(spark, monkeypatch):
+    """A ring of 12 takes 12 rounds, not 12 forward and 12 backward; the edges of the caller are computed once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    ring = spark.range(12).select(counted(F.col("id")).alias("src"), ((F.col("id") + 1) % 12).alias("dst"))
+    parts, kept = _rounds(monkeypatch, ring)
+    assert parts == {i: 11 for i in range(12)}
+    assert calls.value == 12 and len(kept) < 20
+
+
+def test_strong_parts_in_rows(spark):
+    """Parts in a row, the greatest nodes rising, falling and mixed; edges twice, loops on and off parts, null ends."""
+    for order in ((1, 2, 3, 4), (4, 3, 2, 1), (2, 4, 1, 3)):
+        pairs, expected = [(None, 1), (1, None), (500, 500), (101, 101)], {500: 500}
+        for k, x in enumerate(order):
+            ring = [x * 100 + i for i in (0, 2, 1)]
+            pairs += [(a, b) for a, b in zip(ring, ring[1:] + ring[:1])] * 2
+            pairs += [(order[k - 1] * 100, x * 100 + 50), (x * 100 + 50, x * 100 + 1)] if k else []
+            expected |= {a: x * 100 + 2 for a in ring}
+        for kind in ("long", "string"):
+            edges = spark.createDataFrame(pairs, "src long, dst long").select(F.col("src").cast(kind), F.col("dst").cast(kind))
+            assert {(int(r["node"]), int(r["part"])) for r in graph.strong_parts(edges).collect()} == set(expected.items())
+
+
+def test_strong_parts_with_hash_tables_and_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HASHED_EDGES", 0)
+    monkeypatch.setattr(graph, "FRONT_BYTES", -1)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (0, 1)], "src int, dst int")
+    assert {r["node"]: r["part"] for r in graph.strong_parts(edges).collect()} == {1: 3, 2: 3, 3: 3, 4: 5, 5: 5}

@@ -6,10 +6,15 @@ longest path. Each round is one join and one distinct, its lineage cut by a chec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.plans.lineage import checkpointed
+from textloom.plans.lineage import checkpointed, kept_bytes
+
+#: Above so many edges, a round of peeling looks nodes up in hash tables of its tasks' shares.
+HASHED_EDGES = 2_000_000
+#: Up to so many bytes, the nodes that a round goes on from are broadcast, and the edges are not shuffled.
+FRONT_BYTES = 16 << 20
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -41,11 +46,13 @@ def dependents(edges: DataFrame, node: str) -> DataFrame:
 
 
 def _peeled(edges: DataFrame) -> DataFrame:
-    """``edges`` without those of nodes that no edge enters or none leaves, over and over: they are on no cycle."""
-    now = checkpointed(edges)
-    n = now.count()
+    """``edges``, kept already, without those of nodes that no edge enters or none leaves, over and over: they are on no cycle."""
+    now, n = edges, edges.count()
     while n:
-        inner = now.select(F.col("src").alias("node")).intersect(now.select(F.col("dst").alias("node")))
+        ends = now.select(F.col("src").alias("node"), F.lit(1).alias("way")).union(now.select("dst", F.lit(2)))
+        inner = ends.groupBy("node").agg(F.bit_or("way").alias("ways")).where("ways = 3").select("node")
+        # Many edges are not sorted for a test against distinct nodes; with few, AQE sends the nodes to all tasks.
+        inner = inner.hint("shuffle_hash") if n > HASHED_EDGES else inner
         left = now.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
         now = checkpointed(left)
         before, n = n, now.count()
@@ -54,40 +61,39 @@ def _peeled(edges: DataFrame) -> DataFrame:
     return now
 
 
-def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, colour)`` with each node's greatest colour along ``edges`` (src to dst), its own included."""
-    now = front = checkpointed(colours)
-    while not front.isEmpty():
-        # Only colours that grew in the last round go on; of those that meet at a node the greatest counts.
-        sent = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
-        both = checkpointed(now.join(sent, "node", "left").select("node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("grew")))
-        now, front = both.select("node", "colour"), both.where("grew").select("node", "colour")
-    return now
+def _coloured(edges: DataFrame) -> DataFrame:
+    """``(node, above, below)``: the greatest node that reaches each node along ``edges``, and the greatest that it reaches, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    now = checkpointed(nodes.select("node", F.col("node").alias("above"), F.col("node").alias("below"), F.lit(True).alias("down"), F.lit(True).alias("up")))
+    while size := kept_bytes(now.where("down or up")):
+        # Only colours that grew in the last round go on, few of them to where the edges lie; of those that meet at a node the greatest counts.
+        near = F.broadcast if size <= FRONT_BYTES else lambda front: front
+        above, below = (near(now.where(way).select(F.col("node").alias("at"), colour)) for way, colour in (("down", "above"), ("up", "below")))
+        sent = edges.join(above, F.col("src") == F.col("at")).select(F.col("dst").alias("node"), F.col("above").alias("a"), F.lit(None).alias("b"))
+        sent = sent.union(edges.join(below, F.col("dst") == F.col("at")).select("src", F.lit(None), "below")).groupBy("node").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+        grew = [F.coalesce(F.col(x) > F.col(y), F.lit(False)).alias(z) for x, y, z in (("a", "above", "down"), ("b", "below", "up"))]
+        now = checkpointed(now.drop("down", "up").join(sent, "node", "left").select("node", F.greatest("above", "a").alias("above"), F.greatest("below", "b").alias("below"), *grew))
+    return now.select("node", "above", "below")
 
 
 def strong_parts(edges: DataFrame) -> DataFrame:
     """GRF-3 (M): ``(node, part)`` of every node on a cycle; ``part`` is the greatest node of its strongly connected part.
 
-    Nodes without edges in or out are peeled off. Each node takes the greatest node that reaches it as its colour (forward); the
-    nodes of a colour that reach its own node (backward) are one part. Parts go and the rest is coloured again. No
-    pairs of nodes are made: a round sends a colour along each edge at most."""
-    loops = checkpointed(edges.where("src = dst").select(F.col("src").alias("node")).distinct())
-    left = _peeled(edges.where("src <> dst").select("src", "dst").distinct())
+    Nodes without edges in or out are peeled off. Colours go both ways at once: each node learns the greatest node that reaches it
+    and the greatest that it reaches. Where they are one node, the nodes of these colours are its part. Parts go, and so do edges between
+    nodes whose colours differ, which no part holds; the rest is coloured again. No pairs of nodes are made: a round sends two
+    colours along each edge at most."""
+    kept = checkpointed(edges.select("src", "dst"))
+    loops = checkpointed(kept.where("src = dst").select(F.col("src").alias("node")).distinct())
+    left = checkpointed(_peeled(kept.where("src <> dst")).distinct())
     parts = None
     while not left.isEmpty():
-        nodes = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
-        colours = _spread(nodes.select("node", F.col("node").alias("colour")), left)
-        ends = [colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour")) for c in ("src", "dst")]
-        within = checkpointed(left.join(ends[0], "src").join(ends[1], "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
-        found = front = checkpointed(colours.where("node = colour"))
-        while not front.isEmpty():
-            back = front.toDF("dst", "colour").join(within, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            front = checkpointed(back.join(found, ["node"], "left_anti"))
-            found = checkpointed(found.union(front))
+        colours = _coloured(left)
+        found = colours.where("above = below").select("node", F.col("above").alias("colour"))
         parts = found if parts is None else checkpointed(parts.union(found))
-        gone = found.select("node")
-        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-        left = _peeled(rest)
+        ends = [colours.where("above <> below").select(F.col("node").alias(c), F.struct("above", "below").alias(f"{c}_colours")) for c in ("src", "dst")]
+        rest = left.join(ends[0], "src").join(ends[1], "dst").where("src_colours = dst_colours").select("src", "dst")
+        left = _peeled(checkpointed(rest))
     if parts is None:
         return loops.select("node", F.col("node").alias("part"))
     shared = parts.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")

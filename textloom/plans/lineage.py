@@ -57,6 +57,11 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
+def kept_bytes(kept: DataFrame) -> int:
+    """About what the rows of a kept frame take; 0 for none."""
+    return kept.agg(F.sum(row_bytes(kept)).alias("n")).first()["n"] or 0
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with its lineage cut; hinted for broadcast if its rows take ``limit`` bytes at most.
 
@@ -64,5 +69,4 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     splits.
     """
     kept = checkpointed(df)
-    size = kept.agg(F.sum(row_bytes(kept)).alias("n")).first()["n"] or 0
-    return F.broadcast(kept) if size <= limit else kept
+    return F.broadcast(kept) if kept_bytes(kept) <= limit else kept
