@@ -33,14 +33,26 @@ def test_query(spark, duck, name):
     assert rows
 
 
+def _equals_its_sql(spark, folder, name, documents):
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = catalogue.QUERIES[name](spark, str(folder))
+    want = duckdb.connect()
+    want.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got.collect())) == sorted(want.execute(catalogue.ORACLES[name]).fetchall())
+
+
 def test_string_basics_of_empty_texts_and_nulls(spark, tmp_path):
     """The SQL has -1 as the first code point of an empty text, and true for a null."""
     texts = [None, "", "é,e", "\U0001f600e", "\0", " ", ",", "a\ufeff"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = catalogue.QUERIES["string_basics"](spark, str(tmp_path))
-    want = duckdb.connect()
-    want.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    assert sorted(map(tuple, got.collect())) == sorted(want.execute(catalogue.ORACLES["string_basics"]).fetchall())
+    _equals_its_sql(spark, tmp_path, "string_basics", list(enumerate(texts)))
+
+
+def test_recoded_charsets_of_close_texts(spark, tmp_path):
+    """In cp850 as in mac_roman, one letter or a repeated word reads as usual: what stands farther from it tells."""
+    close = ["Est les sur des et. Ç.", "Aition. Étion Étion Étion Étion Étion Étion Étion Étion la."]
+    usual = ["Das ist gut. Ä."] * 20 + ["une êtion la, des êtion sur, les êtion Étage."] * 20
+    rows = [(8 * i + 2, t) for i, t in enumerate(close)] + [(8 * i + 4, t) for i, t in enumerate(usual)]
+    _equals_its_sql(spark, tmp_path, "recoded_charsets", rows)
 
 
 def test_entry(spark):

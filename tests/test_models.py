@@ -58,6 +58,20 @@ def test_marks_nulls_and_what_fits_nothing(spark):
     assert [r["charset"] for r in seen.orderBy("k").collect()] == ["utf-8", "utf-16-le", None, None, "utf-8", "utf-8"]
 
 
+def test_close_readings_meet_their_longer_contexts(spark):
+    """The other columns stay, equal ones too; rows without bytes, and those that nothing fits, stay as detected."""
+    texts = spark.createDataFrame([("Est les sur des et. Ç.",), *[("Das ist gut. Ä.",)] * 20, (None,), ("plain text",)], "text string")
+    model, names = charsets.fitted(texts), ("utf-8", "cp850", "mac_roman")
+    letter = "Est les sur des et. Ç."
+    rows = [(1, letter.encode("cp850")), (1, letter.encode("mac_roman")), (1, letter.encode("cp850")), (2, "Das ist gut. Ä.".encode("mac_roman")), (3, None), (4, b""), (5, b"plain")]
+    rows = spark.createDataFrame(rows, "k int, data binary")
+    first = rows.where(F.col("data") == F.lit(letter.encode("cp850"))).select(charsets.detected(spark, model, F.col("data"), names).alias("best"))
+    assert first.where("best.charset = 'mac_roman' and best.close").count() == 2
+    want = [(1, "cp850"), (1, "cp850"), (1, "mac_roman"), (2, "mac_roman"), (3, None), (4, "utf-8"), (5, "utf-8")]
+    assert sorted(map(tuple, charsets.distinguished(rows, texts, model, names).collect())) == want
+    assert [r["charset"] for r in charsets.distinguished(rows.where("k = 5"), texts, model, names).collect()] == ["utf-8"]
+
+
 def _points(n=400, size=5):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(n, size)) * [1, 10, 0.1, 1, 3]
