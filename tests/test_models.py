@@ -58,8 +58,11 @@ def test_marks_nulls_and_what_fits_nothing(spark):
     assert [r["charset"] for r in seen.orderBy("k").collect()] == ["utf-8", "utf-16-le", None, None, "utf-8", "utf-8"]
 
 
-def test_close_readings_meet_their_longer_contexts(spark):
-    """The other columns stay, equal ones too; rows without bytes, and those that nothing fits, stay as detected."""
+@pytest.mark.parametrize("most", [charsets.KEYS, 0])
+def test_close_readings_meet_their_longer_contexts(spark, monkeypatch, most):
+    """The other columns stay, equal ones too; rows without bytes, and those that nothing fits, stay as detected. Contexts
+    that are too many for the tasks give the same."""
+    monkeypatch.setattr(charsets, "KEYS", most)
     texts = spark.createDataFrame([("Est les sur des et. Ç.",), *[("Das ist gut. Ä.",)] * 20, (None,), ("plain text",)], "text string")
     model, names = charsets.fitted(texts), ("utf-8", "cp850", "mac_roman")
     letter = "Est les sur des et. Ç."

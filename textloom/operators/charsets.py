@@ -12,7 +12,7 @@ pair never more than its characters, nor a triple more than its pairs, so hardly
 
 ``distinguished`` also compares what is left close: readings that a few bits a letter part, such as "Ç" and "Ä", or a long text that
 repeats one word. Their longer contexts, up to eight characters, are then counted in the given texts, exactly, however many: a task passes
-on only the contexts whose place is one of those sought, and counts meet texts by joins.
+on only the contexts that are sought (beyond ``KEYS`` of them, those that share a place with one), and counts meet texts by joins.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SIZE = PLACES + (2 << DIGITS)
 SHORTER = 4.0
 #: Orders of the longer contexts; the binary digits of the places by which texts are searched for them.
 LONGER, SOUGHT = range(4, 9), 22
+#: As many sought contexts at most come to the driver and the tasks.
+KEYS = 4 << 20
 #: Readings are close if fewer bits than this for each character beyond ASCII in the better one part them.
 CLOSE = 24.0
 #: What stands before and after a text.
@@ -243,9 +245,9 @@ def distinguished(rows: DataFrame, texts: DataFrame, model: np.ndarray, candidat
                     keys = np.unique(np.concatenate(found)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row.as_py())), pa.array(keys)], ["_row", "key"])
 
-    sought = checkpointed(unsure.mapInArrow(seek, "_row long, key long"))
-    if sought.isEmpty():
+    if unsure.isEmpty():
         return first.drop("_row", "_data")
+    sought = checkpointed(unsure.mapInArrow(seek, "_row long, key long"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(1 << SOUGHT, bool)
@@ -253,22 +255,27 @@ def distinguished(rows: DataFrame, texts: DataFrame, model: np.ndarray, candidat
             met[_sought(batch.column(0).to_numpy().view(np.uint64))] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(met))], ["place"])
 
-    wanted = np.zeros(1 << SOUGHT, bool)
-    wanted[sought.select("key").mapInArrow(placed, "place long").distinct().toArrow()["place"].to_numpy()] = True
-    wanted = spark.sparkContext.broadcast(wanted)
+    all_keys, wanted = sought.select("key").distinct(), np.zeros(1 << SOUGHT, bool)
+    few = np.sort(all_keys.toArrow()["key"].to_numpy().view(np.uint64)) if sought.count() <= KEYS else None
+    wanted[all_keys.mapInArrow(placed, "place long").distinct().toArrow()["place"].to_numpy() if few is None else _sought(few)] = True
+    search = spark.sparkContext.broadcast((wanted, few))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def summed() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(found), return_counts=True)
+            if few is not None and len(keys):
+                exact = few[np.minimum(np.searchsorted(few, keys), len(few) - 1)] == keys
+                keys, n = keys[exact], n[exact]
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
         found, size = [], 0
+        wanted, few = search.value
         for batch in batches:
             for text in batch.column(0):
                 for n, keys in grams(text.as_py()) if text.is_valid else ():
                     if n >= LONGER[0] - 1:
                         keys = keys[max(0, LONGER[-1] - n - 1) :]
-                        found.append(keys[wanted.value[_sought(keys)]])
+                        found.append(keys[wanted[_sought(keys)]])
                         size += len(found[-1])
                 if size > 1 << 21:
                     yield summed()
